@@ -43,14 +43,15 @@ def scored(df: DataFrame, config: Config = Config()) -> DataFrame:
 def risk_factors(df: DataFrame, s: Scoring = Scoring()) -> DataFrame:
     """df with f_churn .. f_neighbor and the raw sum ``risk_sum``. Inputs (NULL counts as none): lines_added, lines_deleted, touch_count_30d, days_since_last_change, fan_in, scc_size, dependency_depth, neighbor_churn, lrs."""
     none = lambda x: F.coalesce(x, F.lit(0.0))
+    capped = lambda x, most: F.when(x.isNotNull(), F.least(x, F.lit(most)))  # noqa: E731  (least alone passes over NULLs)
     c = F.col
     parts = {
         "f_churn": none((c("lines_added") + c("lines_deleted")) / 100.0 * s.churn),
-        "f_activity": none(F.least(c("touch_count_30d") / 10.0, F.lit(5.0)) * s.touch),
+        "f_activity": none(capped(c("touch_count_30d") / 10.0, 5.0) * s.touch),
         "f_recency": none(F.greatest(5.0 - c("days_since_last_change") / 7.0, F.lit(0.0)) * s.recency),
-        "f_fan_in": none(F.least(c("fan_in") / 5.0, F.lit(10.0)) * s.fan_in),
+        "f_fan_in": none(capped(c("fan_in") / 5.0, 10.0) * s.fan_in),
         "f_cycle": none(F.when(c("scc_size") > 1, c("scc_size") * s.scc)),
-        "f_depth": none(F.least(c("dependency_depth") / 3.0, F.lit(5.0)) * s.depth),
+        "f_depth": none(capped(c("dependency_depth") / 3.0, 5.0) * s.depth),
         "f_neighbor": none(c("neighbor_churn") / 500.0 * s.neighbor_churn),
     }
     total = c("lrs")

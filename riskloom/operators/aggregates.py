@@ -72,7 +72,7 @@ def summary(functions: DataFrame, score: str) -> DataFrame:
     for p in (1, 5, 10):
         k = F.greatest(F.floor(F.col("n") * p / 100), F.lit(1))
         taken = F.greatest(F.least(F.col("c"), k - F.col("above")), F.lit(0))
-        outs.append((F.sum(taken * F.col("v")) / F.sum(F.col("c") * F.col("v"))).alias(f"top_{p}_pct_share"))
+        outs.append(F.try_divide(F.sum(taken * F.col("v")), F.sum(F.col("c") * F.col("v"))).alias(f"top_{p}_pct_share"))
     row = h.agg(*outs)
     return row.select("total_functions", "total_risk", *[F.when(F.col("total_risk") > 0, F.col(f"top_{p}_pct_share")).otherwise(0.0).alias(f"top_{p}_pct_share") for p in (1, 5, 10)])
 

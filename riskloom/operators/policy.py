@@ -53,7 +53,7 @@ def attention_threshold(d: DataFrame, config: Config = Config()) -> DataFrame:
 
 
 def rapid_growth(d: DataFrame, config: Config = Config()) -> DataFrame:
-    growth = (F.col("after_lrs") - F.col("before_lrs")) / F.col("before_lrs") * 100
+    growth = F.try_divide(F.col("after_lrs") - F.col("before_lrs"), F.col("before_lrs")) * 100
     x = d.filter((F.col("status") == "modified") & F.col("suppression_reason").isNull() & (F.col("before_lrs") > 2.220446049250313e-16)).withColumn("_g", growth)
     x = x.filter(F.col("_g") >= config.warning_thresholds.rapid_growth_percent)
     return _result(x, ORDER[4], "warning", F.concat(F.lit("Function "), F.col("function_id"), F.lit(" grew from "), _two(F.col("before_lrs")), F.lit(" to "), _two(F.col("after_lrs"))), delta=F.col("after_lrs") - F.col("before_lrs"), growth=F.col("_g"))

@@ -47,8 +47,8 @@ def top_decile_share(df: DataFrame, column: str) -> DataFrame:
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     """One row (rho): Pearson's correlation of the average ranks; 0 where a side is constant."""
     r = average_ranks(average_ranks(df.select(a, b), a, "_ra"), b, "_rb")
-    rho = F.corr("_ra", "_rb")
-    return r.agg(F.when(rho.isNull() | F.isnan(rho), 0.0).otherwise(rho).alias("rho"))
+    m = r.agg(F.covar_pop("_ra", "_rb").alias("c"), (F.stddev_pop("_ra") * F.stddev_pop("_rb")).alias("d"))
+    return m.select(F.when(F.coalesce(F.col("d"), F.lit(0.0)) == 0, 0.0).otherwise(F.col("c") / F.col("d")).alias("rho"))
 
 
 def precision_at_k(df: DataFrame, score: str, label: str, key: str, cutoffs: Sequence[int] = CUTOFFS) -> DataFrame:

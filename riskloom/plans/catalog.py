@@ -21,6 +21,7 @@ from ..operators import ranking as R
 from ..operators import trends as T
 from ..sources import adapters as V
 from ..sources.adapters import AS_OF, COMMITS_AS_OF, with_views
+from ..sources.shared import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -73,7 +74,7 @@ def q_topn_reports(spark, d):
     return Q.top_n(S.scored(V.fn(spark, d)), order, 20).select("file", "line", "function_id", *r6("lrs"))
 
 
-FACTORS = """SELECT *, coalesce((lines_added + lines_deleted) / 100.0 * 0.5, 0)::DOUBLE AS f_churn, coalesce(least(touch_count_30d / 10.0, 5.0) * 0.3, 0)::DOUBLE AS f_activity,
+FACTORS = """SELECT *, coalesce((lines_added + lines_deleted) / 100.0 * 0.5, 0)::DOUBLE AS f_churn, coalesce(CASE WHEN touch_count_30d IS NOT NULL THEN least(touch_count_30d / 10.0, 5.0) * 0.3 END, 0)::DOUBLE AS f_activity,
   coalesce(greatest(5.0 - days_since_last_change / 7.0, 0.0) * 0.2, 0)::DOUBLE AS f_recency, (least(fan_in / 5.0, 10.0) * 0.4)::DOUBLE AS f_fan_in, CASE WHEN scc_size > 1 THEN scc_size * 0.3 ELSE 0 END::DOUBLE AS f_cycle,
   (least(dependency_depth / 3.0, 5.0) * 0.1)::DOUBLE AS f_depth, (neighbor_churn / 500.0 * 0.2)::DOUBLE AS f_neighbor FROM v_full"""
 RISK = "SELECT *, CASE WHEN s > lrs OR f_churn > 0 THEN s END AS activity_risk FROM (SELECT *, lrs + f_churn + f_activity + f_recency + f_fan_in + f_cycle + f_depth + f_neighbor AS s FROM factors)"
@@ -99,7 +100,7 @@ def q_dimension_thresholds(spark, d):
 
 
 def _driven(spark, d):
-    f = V.enriched(spark, d)
+    f = stored(V.enriched(spark, d), "enriched")
     return S.driver(f.crossJoin(F.broadcast(Q.dimension_thresholds(f))))
 
 
@@ -116,7 +117,7 @@ NEAR = """SELECT function_id, string_agg(d || ' (P' || p::VARCHAR || ')', ', ' O
 
 @query(with_views("SELECT function_id, driver, driver_detail FROM driven LEFT JOIN near USING (function_id)", "v_full", also={"thresholds": THRESHOLDS, "driven": DRIVER, "ranks": f"SELECT function_id, driver, {_RANKS} FROM driven", "dims": _UNPIVOT, "near": NEAR}))
 def q_near_miss(spark, d):
-    return S.near_miss(_driven(spark, d)).select("function_id", "driver", "driver_detail")
+    return S.near_miss(stored(_driven(spark, d), "driven")).select("function_id", "driver", "driver_detail")
 
 
 QUAD = "CASE WHEN band IN ('high', 'critical') THEN CASE WHEN act THEN 'fire' ELSE 'debt' END WHEN act THEN 'watch' ELSE 'ok' END"
@@ -210,7 +211,7 @@ EXPLAIN = f"""SELECT function_id, upper(t[1]) || t[2:] || '.' AS explanation FRO
 @query(with_views(f"SELECT e.* FROM ({EXPLAIN}) e JOIN v_full USING (function_id) WHERE band IN ('high', 'critical')", "v_full", also={"pcts": f"SELECT function_id, {_PCT} FROM v_full", "elev": _ELEV}))
 def q_explanations(spark, d):
     x = V.enriched(spark, d)
-    x = x.select("function_id", "band", *[F.expr(e).alias(f"v_{n}") for n, e in _EXPL.items()])
+    x = stored(x.select("function_id", "band", *[F.expr(e).alias(f"v_{n}") for n, e in _EXPL.items()]), "features")
     for n in _EXPL:
         x = Q.percentile_rank(x, f"v_{n}", f"p_{n}")
     return x.filter(F.col("band").isin("high", "critical")).select("function_id", S.explanation().alias("explanation"))
@@ -637,9 +638,9 @@ def q_gate_p10(spark, d):
 # Trends ----------------------------------------------------------------------------------------------------------------------------
 
 
-@query(with_views("SELECT function_id, round(v, 9) AS velocity, CASE WHEN abs(v) < 1e-9 THEN 'flat' WHEN v > 0 THEN 'positive' ELSE 'negative' END AS direction, first_lrs, last_lrs, n AS commit_count FROM (SELECT *, (last_lrs - first_lrs) / (n - 1) AS v FROM (SELECT function_id, arg_min(lrs, k) AS first_lrs, arg_max(lrs, k) AS last_lrs, count(*) AS n FROM v_snap GROUP BY 1) WHERE n >= 2)", "v_snap"))
+@query(with_views("SELECT function_id, round(v, 12) AS velocity, CASE WHEN abs(v) < 1e-9 THEN 'flat' WHEN v > 0 THEN 'positive' ELSE 'negative' END AS direction, first_lrs, last_lrs, n AS commit_count FROM (SELECT *, (last_lrs - first_lrs) / (n - 1) AS v FROM (SELECT function_id, arg_min(lrs, k) AS first_lrs, arg_max(lrs, k) AS last_lrs, count(*) AS n FROM v_snap GROUP BY 1) WHERE n >= 2)", "v_snap"))
 def q_velocity(spark, d):
-    return T.velocities(V.snapshots(spark, d)).select("function_id", F.round("velocity", 9).alias("velocity"), "direction", "first_lrs", "last_lrs", "commit_count")
+    return T.velocities(V.snapshots(spark, d)).select("function_id", F.round("velocity", 12).alias("velocity"), "direction", "first_lrs", "last_lrs", "commit_count")
 
 
 @query(with_views("SELECT function_id, CASE WHEN r >= 0.8 THEN 'stable' WHEN r >= 0.5 THEN 'emerging' ELSE 'volatile' END AS stability, round(r, 6) AS overlap_ratio, a AS appearances, t AS total_snapshots FROM (SELECT function_id, count(*) AS a, (SELECT count(DISTINCT k) FROM v_snap) AS t, count(*)::DOUBLE / (SELECT count(DISTINCT k) FROM v_snap) AS r FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY lrs DESC, function_id) AS x FROM v_snap) WHERE x <= 50 GROUP BY 1)", "v_snap"))
@@ -648,19 +649,19 @@ def q_stability(spark, d):
 
 
 _TD = "SELECT function_id, i, lrs - l AS delta FROM (SELECT *, lag(lrs) OVER w AS l, lag(i) OVER w AS pi FROM (SELECT *, dense_rank() OVER (ORDER BY k) - 1 AS i FROM v_snap) WINDOW w AS (PARTITION BY function_id ORDER BY i)) WHERE i - pi = 1"
-_RF = """SELECT function_id, round(improvement_delta, 6) AS improvement_delta, sustained_commits, rebound_detected, CASE WHEN rebound_detected THEN 'partial' ELSE 'successful' END AS outcome FROM (
+_RF = """SELECT function_id, round(improvement_delta, 7) AS improvement_delta, sustained_commits, rebound_detected, CASE WHEN rebound_detected THEN 'partial' ELSE 'successful' END AS outcome FROM (
   SELECT function_id, improvement_delta, 1 + count(*) FILTER (WHERE delta <= -1 AND i < coalesce(rb, 1000000)) AS sustained_commits, max(rb) IS NOT NULL AS rebound_detected FROM (
     SELECT t.*, f.improvement_delta, min(CASE WHEN t.delta >= 0.5 THEN t.i END) OVER (PARTITION BY t.function_id) AS rb FROM td t JOIN (SELECT function_id, min(i) AS f, arg_min(delta, i) AS improvement_delta FROM td WHERE delta <= -1 GROUP BY 1) f ON t.function_id = f.function_id AND t.i >= f.f AND t.i < f.f + 3) GROUP BY 1, 2)"""
 
 
-@query(with_views("SELECT function_id, i, round(delta, 6) AS delta FROM td", "v_snap", also={"td": _TD}))
+@query(with_views("SELECT function_id, i, round(delta, 7) AS delta FROM td", "v_snap", also={"td": _TD}))
 def q_snapshot_deltas(spark, d):
-    return T.snapshot_deltas(V.snapshots(spark, d)).select("function_id", "i", *r6("delta"))
+    return T.snapshot_deltas(V.snapshots(spark, d)).select("function_id", "i", F.round("delta", 7).alias("delta"))
 
 
 @query(with_views(_RF, "v_snap", also={"td": _TD}))
 def q_refactor(spark, d):
-    return T.refactorings(V.snapshots(spark, d)).select("function_id", *r6("improvement_delta"), "sustained_commits", "rebound_detected", "outcome")
+    return T.refactorings(V.snapshots(spark, d)).select("function_id", F.round("improvement_delta", 7).alias("improvement_delta"), "sustained_commits", "rebound_detected", "outcome")
 
 
 _L2 = """SELECT k FROM walk UNION SELECT max(k) FROM st"""

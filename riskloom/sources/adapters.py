@@ -58,7 +58,7 @@ def snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The snapshot series (function_id, k, lrs) from orders: customers by quarter."""
     o, c = table(spark, sf_dir, "orders"), F.col
     k = F.year("o_orderdate") * 4 + F.quarter("o_orderdate")
-    return o.groupBy(c("o_custkey").alias("function_id"), k.cast("long").alias("k")).agg(F.round(F.sum(c("o_totalprice").cast("decimal(18,2)")).cast("double") / 100000, 4).alias("lrs"))
+    return o.groupBy(c("o_custkey").alias("function_id"), k.cast("long").alias("k")).agg(F.round(F.sum(c("o_totalprice").cast("decimal(18,2)")).cast("double") / 100000, 7).alias("lrs"))
 
 
 def snapshot_pair(spark: SparkSession, sf_dir: str, before: int = 7985, after: int = 7986) -> tuple[DataFrame, DataFrame]:
@@ -69,7 +69,7 @@ def snapshot_pair(spark: SparkSession, sf_dir: str, before: int = 7985, after: i
 
     def shape(k: int) -> DataFrame:
         some = s.filter(c("k") == k)
-        score = F.round(c("lrs") * 2, 4)
+        score = F.round(c("lrs") * 2, 6)
         why = F.when(c("function_id") % 37 == 0, F.lit("")).when(c("function_id") % 41 == 0, F.lit("legacy"))
         return some.select(F.concat(F.lit("f"), (c("function_id") % 100).cast("string"), F.lit("::"), c("function_id").cast("string")).alias("function_id"), F.concat(F.lit("f"), (c("function_id") % 100).cast("string")).alias("file"),
                            (c("function_id") % 1000).cast("long").alias("line"), (F.floor(score) + 1).cast("long").alias("cc"), (c("function_id") % 5).cast("long").alias("nd"), F.lit(1).cast("long").alias("fo"), F.lit(0).cast("long").alias("ns"),
@@ -117,9 +117,9 @@ SQL = {
     "v_commit": "SELECT o_orderkey AS sha, epoch(o_orderdate)::BIGINT AS ts, o_custkey AS author, o_orderpriority AS subject, o_orderpriority = '1-URGENT' AS is_fix FROM orders",
     "v_commit_file": "SELECT * FROM (SELECT l_orderkey AS sha, l_suppkey AS file, sum(l_quantity)::BIGINT AS lines_added, sum(l_linenumber)::BIGINT AS lines_deleted FROM lineitem GROUP BY 1, 2) JOIN v_commit USING (sha)",
     "v_edge": "SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 AND a.l_partkey <> b.l_partkey WHERE a.l_quantity >= 45 AND b.l_quantity >= 45",
-    "v_snap": "SELECT o_custkey AS function_id, (year(o_orderdate) * 4 + quarter(o_orderdate))::BIGINT AS k, round(sum(o_totalprice::DECIMAL(18,2))::DOUBLE / 100000, 4) AS lrs FROM orders GROUP BY 1, 2",
+    "v_snap": "SELECT o_custkey AS function_id, (year(o_orderdate) * 4 + quarter(o_orderdate))::BIGINT AS k, round(sum(o_totalprice::DECIMAL(18,2))::DOUBLE / 100000, 7) AS lrs FROM orders GROUP BY 1, 2",
     "v_pair": """SELECT 'f' || (function_id % 100)::VARCHAR || '::' || function_id::VARCHAR AS function_id, 'f' || (function_id % 100)::VARCHAR AS file, function_id % 1000 AS line, k, (floor(s) + 1)::BIGINT AS cc, function_id % 5 AS nd, 1::BIGINT AS fo, 0::BIGINT AS ns, s AS lrs,
-      CASE WHEN s < 3 THEN 'low' WHEN s < 6 THEN 'moderate' WHEN s < 9 THEN 'high' ELSE 'critical' END AS band, CASE WHEN function_id % 37 = 0 THEN '' WHEN function_id % 41 = 0 THEN 'legacy' END AS suppression_reason FROM (SELECT *, round(lrs * 2, 4) AS s FROM v_snap)""",
+      CASE WHEN s < 3 THEN 'low' WHEN s < 6 THEN 'moderate' WHEN s < 9 THEN 'high' ELSE 'critical' END AS band, CASE WHEN function_id % 37 = 0 THEN '' WHEN function_id % 41 = 0 THEN 'legacy' END AS suppression_reason FROM (SELECT *, round(lrs * 2, 6) AS s FROM v_snap)""",
     "v_before": "SELECT * FROM v_pair WHERE k = 7985",
     "v_after": "SELECT * FROM v_pair WHERE k = 7986",
     "v_touch": "SELECT user_id AS file, floor(epoch(ts))::BIGINT AS ts, event_type AS author FROM events",
