@@ -134,7 +134,7 @@ def _kept(key: np.ndarray, left: np.ndarray, right: np.ndarray, end: np.ndarray,
 
 
 def document_keys(doc_ids: np.ndarray, seed: int) -> np.ndarray:
-    return mix64(mix64(doc_ids.astype(np.int64).view(np.uint64) + np.uint64(seed & (2**64 - 1)) * _K[0]))
+    return mix64(mix64(doc_ids.astype(np.int64).view(np.uint64) + np.uint64(seed * int(_K[0]) & (2**64 - 1))))
 
 
 def _agenda(p: Pieces, ids: list[int], key: np.uint64, first: int, least: int) -> list[tuple[int, int]]:
