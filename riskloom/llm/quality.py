@@ -52,7 +52,7 @@ def features(data: np.ndarray, offs: np.ndarray) -> Iterator[np.ndarray]:
     at = np.searchsorted(doc, np.arange(n + 1))
     begin = at[:-1][doc]
     for k in range(4):  # shapes of the words i-k..i
-        run = run * np.uint64(1000003) + (np.concatenate([np.zeros(k, np.uint64), shape[: len(shape) - k]]) if k else shape)
+        run = run * np.uint64(1000003) + np.concatenate([np.zeros(min(k, len(shape)), np.uint64), shape[: max(0, len(shape) - k)]])
         f = (mix64(run + np.uint64(k)) >> np.uint64(64 - FEATURE_BITS)).astype(np.int32)
         grams.append(np.where(np.arange(len(f)) - k >= begin, f, -1))
     last = np.empty(size, np.int32)
@@ -85,7 +85,7 @@ def fit_rows(rows: list[np.ndarray], good: np.ndarray, cost: float = COST, epoch
     size = 1 << FEATURE_BITS
     pos, neg = (np.bincount(np.concatenate([r for r, g in zip(rows, good) if bool(g) == side] + [np.zeros(0, np.int32)]).astype(np.int64), minlength=size) + SMOOTH for side in (True, False))
     ratio = np.log((pos / pos.sum()) / (neg / neg.sum()))
-    unit = [ratio[r] / np.sqrt(max(1e-12, float((ratio[r] ** 2).sum()))) for r in rows]
+    unit = [(ratio[r] / np.sqrt(max(1e-12, float((ratio[r] ** 2).sum())))).astype(np.float32) for r in rows]
     # Dual coordinate descent for the hinge loss; the bias is a feature of value 1, classes weigh alike.
     w, bias, alpha, rng = np.zeros(size), 0.0, np.zeros(len(y)), np.random.default_rng(seed)
     most = np.where(good, cost * len(y) / (2 * good.sum()), cost * len(y) / (2 * (~good).sum()))
@@ -123,7 +123,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, se
                 f = pa.array(list(features(data, offs)), pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), f], ["o", "good", "f"])
 
-    got = sample.select("text", "o", "good").mapInArrow(run, "o long, good boolean, f array<int>").toArrow().sort_by("o")
+    got = sample.select("text", "o", "good").mapInArrow(run, "o long, good boolean, f array<int>").toArrow().sort_by("o").combine_chunks()
     column = got.column("f").combine_chunks()
     if not len(got):
         return None
