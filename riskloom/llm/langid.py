@@ -24,8 +24,8 @@ BITS = 14
 #: Rows that the model is fitted to at most, and landmarks among them.
 MAX_ROWS, LANDMARKS = 4000, 192
 SEED, RIDGE = 3, 1e-2
-#: A text whose best score stays below this is in no known language. Scores are regressed on 1 for its language and 0 for others.
-LEAST = 0.38
+#: A text that resembles fewer than NEIGHBOUR landmarks by LEAST is in no known language, whatever the regression makes of it.
+NEIGHBOUR, LEAST = 8, 0.11
 
 
 def presence(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
@@ -55,32 +55,37 @@ class Model:
     coefficients: np.ndarray  # (M, languages)
     bias: np.ndarray
 
-    def scores(self, bits: np.ndarray) -> np.ndarray:
+    def scores(self, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(texts, languages) scores, and each text's resemblance: its kernel with the NEIGHBOUR-th nearest landmark."""
         x = bits.astype(np.float32)
         kernel = (x @ self.landmarks) / np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
-        return kernel @ self.coefficients + self.bias
+        k = min(NEIGHBOUR, kernel.shape[1])
+        return kernel @ self.coefficients + self.bias, np.partition(kernel, -k, axis=1)[:, -k]
 
 
-def fit_rows(bits: np.ndarray, langs: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE, seed: int = SEED) -> Model:
+def fit_rows(packed: np.ndarray, langs: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE, seed: int = SEED) -> Model:
+    """The model of rows of presence bits, packed eight to a byte."""
     names = sorted(set(langs))
     y = np.array([[float(x == n) for n in names] for x in langs])
     rng = np.random.default_rng(seed)
     # As many landmarks of each language as can be, in turn.
     by = [rng.permutation(np.flatnonzero(y[:, j])).tolist() for j in range(len(names))]
     chosen = [r[i] for i in range(max(map(len, by))) for r in by if i < len(r)][:landmarks]
-    x = bits.astype(np.float32)
-    x /= np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
-    marks = x[chosen]
+    def unit(rows: np.ndarray) -> np.ndarray:
+        x = np.unpackbits(rows, axis=1).astype(np.float32)
+        return x / np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
+
+    marks = unit(packed[chosen])
     values, vectors = np.linalg.eigh((marks @ marks.T).astype(np.float64))
     ok = values > 1e-6 * values.max()
     root = vectors[:, ok] / np.sqrt(values[ok])
-    phi = (x @ marks.T).astype(np.float64) @ root
+    phi = np.concatenate([unit(packed[i : i + 256]) @ marks.T for i in range(0, len(packed), 256)]).astype(np.float64) @ root
     # Each language weighs alike.
     w = 1 / y.sum(0)[y.argmax(1)]
     w /= w.sum()
     mean, target = w @ phi, w @ y
     a = phi - mean
-    beta = np.linalg.solve((a * w[:, None]).T @ a + ridge / len(x) * np.eye(a.shape[1]), (a * w[:, None]).T @ (y - target))
+    beta = np.linalg.solve((a * w[:, None]).T @ a + ridge / len(packed) * np.eye(a.shape[1]), (a * w[:, None]).T @ (y - target))
     return Model(names, np.ascontiguousarray(marks.T), (root @ beta).astype(np.float32), (target - mean @ beta).astype(np.float32))
 
 
@@ -104,12 +109,12 @@ def fit(docs: DataFrame, max_rows: int = MAX_ROWS, landmarks: int = LANDMARKS, s
 
     chosen = o.filter(F.col("o") <= F.lit(cut)).mapInArrow(run, "lang string, o long, bits binary")
     got = chosen.orderBy("o", "lang").limit(max_rows).toArrow()  # copies of one text share its hash: the limit holds them too
-    bits = np.unpackbits(np.frombuffer(b"".join(got.column("bits").to_pylist()), np.uint8).reshape(len(got), -1), axis=1)
-    return fit_rows(bits, got.column("lang").to_pylist(), landmarks)
+    packed = np.frombuffer(b"".join(got.column("bits").to_pylist()), np.uint8).reshape(len(got), -1)
+    return fit_rows(packed, got.column("lang").to_pylist(), landmarks)
 
 
-def identified(docs: DataFrame, model: Model | None, name: str, score: str) -> DataFrame:
-    """docs with two more columns: the best language of ``text`` and its score; NULL for NULL texts, texts without a letter or digit, or without a model."""
+def identified(docs: DataFrame, model: Model | None, name: str, score: str, like: str) -> DataFrame:
+    """docs with three more columns: the best language of ``text``, its score, and the resemblance to landmarks; NULL for NULL texts, texts without a letter or digit, or without a model."""
     from pyspark.sql import types as T
 
     at = docs.columns.index("text")
@@ -118,43 +123,44 @@ def identified(docs: DataFrame, model: Model | None, name: str, score: str) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            best, top, some = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows), np.zeros(batch.num_rows, bool)
+            n = batch.num_rows
+            best, top, near, some = np.zeros(n, np.int64), np.zeros(n), np.zeros(n), np.zeros(n, bool)
             if m is not None:
                 for first, last, data, offs in text_slices(batch.column(at)):
                     for i in range(0, last - first, 256):
                         j = min(last - first, i + 256)
                         bits = presence(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
-                        s = m.scores(bits)
+                        s, near[first + i : first + j] = m.scores(bits)
                         best[first + i : first + j], top[first + i : first + j] = s.argmax(1), s.max(1)
                         some[first + i : first + j] = bits.sum(1, dtype=np.int64) > 3
             lang = pa.array(np.array([*(m.names if m else []), ""], object)[best], pa.string(), mask=~some)
-            yield pa.RecordBatch.from_arrays([*batch.columns, lang, pa.array(top, mask=~some)], [*batch.schema.names, name, score])
+            yield pa.RecordBatch.from_arrays([*batch.columns, lang, pa.array(top, mask=~some), pa.array(near, mask=~some)], [*batch.schema.names, name, score, like])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.StringType()), T.StructField(score, T.DoubleType())]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.StringType()), T.StructField(score, T.DoubleType()), T.StructField(like, T.DoubleType())]))
 
 
 def language_ids(docs: DataFrame, least: float = LEAST, max_rows: int = MAX_ROWS) -> DataFrame:
-    """docs (doc_id, text, lang) -> (doc_id, lang, predicted, score, kept).
+    """docs (doc_id, text, lang) -> (doc_id, lang, predicted, score, resemblance, kept).
 
-    kept: unless the score is below ``least``, so that the text is in none of the languages. Texts that are NULL or have no letters or digits
+    kept: unless the resemblance is below ``least``, so that the text is in none of the languages. Texts that are NULL or have no letters or digits
     have NULL predictions and are rejected only if they aren't NULL; without a model nothing is rejected. Repeated rows are identified each;
     an empty table gives no rows; extra columns are ignored.
     """
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     model = fit(docs, max_rows)
-    out = identified(narrow, model, "predicted", "score")
-    kept = F.lit(True) if model is None else F.col("text").isNull() | F.coalesce(F.col("score") >= least, F.lit(False))
-    return out.select("doc_id", "lang", "predicted", "score", kept.alias("kept"))
+    out = identified(narrow, model, "predicted", "score", "resemblance")
+    kept = F.lit(True) if model is None else F.col("text").isNull() | F.coalesce(F.col("resemblance") >= least, F.lit(False))
+    return out.select("doc_id", "lang", "predicted", "score", "resemblance", kept.alias("kept"))
 
 
 def in_known_language(docs: DataFrame, least: float = LEAST, max_rows: int = MAX_ROWS) -> DataFrame:
     """The rows of docs that language_ids() keeps, with all their columns."""
-    p, s = fresh(docs, "_predicted", "_score")
+    p, s, near = fresh(docs, "_predicted", "_score", "_near")
     model = fit(docs, max_rows)
     if model is None:
         return docs
-    out = identified(docs, model, p, s)
-    return out.filter(col("text").isNull() | F.coalesce(F.col(s) >= least, F.lit(False))).select(*[col(c) for c in docs.columns])
+    out = identified(docs, model, p, s, near)
+    return out.filter(col("text").isNull() | F.coalesce(F.col(near) >= least, F.lit(False))).select(*[col(c) for c in docs.columns])
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
