@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import drop_stored, shared_dir, stored  # noqa: F401
+
 #: Bytes of text that one round of the numpy kernels handles at a time; bounds a Python worker's scratch memory.
 SLICE_BYTES = 1 << 20
 _B = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -39,35 +39,6 @@ def col(name: str):
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, or in local mode one of our own."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not where:
-        where = spark.sparkContext.getCheckpointDir()
-    if not where:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        where = "file://" + tempfile.mkdtemp(prefix="riskloom-")
-        spark.sparkContext.setCheckpointDir(where)
-    return where.rstrip("/")
-
-
-def stored(df: DataFrame, what: str) -> DataFrame:
-    """``df`` written to the shared folder and read back: cuts the lineage and survives the loss of executors."""
-    path = f"{shared_dir(df.sparkSession)}/riskloom/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._stored_path = path
-    return out
-
-
-def drop_stored(df: DataFrame) -> None:
-    """Deletes a table of stored() that nothing reads any more."""
-    jvm, sc = df.sparkSession._jvm, df.sparkSession.sparkContext
-    path = jvm.org.apache.hadoop.fs.Path(df._stored_path)
-    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def mix64(x: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
