@@ -863,3 +863,76 @@ def q_source_tokens(spark, d):
     from ..sources.files import source_tokens
 
     return V.table(spark, d, "documents").select("doc_id", F.size(source_tokens(F.col("text"))).cast("long").alias("tokens"))
+
+
+_SRC = """SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '// risk-ignore: reason ' || doc_id::VARCHAR WHEN 1 THEN '// risk-ignore' WHEN 2 THEN '  // risk-ignored' ELSE '// other' END AS before FROM documents"""
+
+
+@query(f"SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'reason ' || doc_id::VARCHAR WHEN 1 THEN '' END AS suppression_reason FROM ({_SRC})")
+def q_suppression(spark, d):
+    from ..sources.files import suppression
+
+    i = F.col("doc_id")
+    before = F.when(i % 4 == 0, F.concat(F.lit("// risk-ignore: reason "), i.cast("string"))).when(i % 4 == 1, "// risk-ignore").when(i % 4 == 2, "  // risk-ignored").otherwise("// other")
+    text = F.concat(F.lit("import x\n"), before, F.lit("\nfunction f() {}\n"))
+    return V.table(spark, d, "documents").select("doc_id", suppression(text, F.lit(3)).alias("suppression_reason"))
+
+
+@query("SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'M' || doc_id::VARCHAR WHEN 1 THEN 'A' || doc_id::VARCHAR || ',B' || doc_id::VARCHAR ELSE '' END AS models, CASE doc_id % 3 WHEN 0 THEN 2 WHEN 1 THEN 1 END::INT AS line FROM documents")
+def q_model_decls(spark, d):
+    from ..sources.files import line_of, model_names
+
+    i = F.col("doc_id")
+    n = i.cast("string")
+    x = V.table(spark, d, "documents").select("doc_id", F.when(i % 3 == 0, "Python").when(i % 3 == 1, "TypeScript").otherwise("Go").alias("lang"), F.when(i % 3 == 0, F.concat(F.lit("import x\nclass M"), n, F.lit("(Base):\n"))).when(i % 3 == 1, F.concat(F.lit("export interface A"), n, F.lit(" {}\nexport class B"), n, F.lit(" {}\n"))).otherwise("type lower struct {}\n").alias("t"))
+    names = model_names(F.col("t"), F.col("lang"))
+    return x.select("doc_id", F.array_join(names, ",").alias("models"), line_of(F.col("t"), F.get(names, F.lit(0))).alias("line"))
+
+
+@query(with_views("SELECT 'risk-' || band AS rule_id, CASE band WHEN 'critical' THEN 'error' WHEN 'high' THEN 'warning' ELSE 'note' END AS level, file AS uri, line, function_id FROM v_scored WHERE band <> 'low'", "v_scored").replace(", function_id FROM v_scored", " FROM v_scored"))
+def q_sarif(spark, d):
+    from .sinks import sarif_results
+
+    return sarif_results(S.scored(V.fn(spark, d))).select("rule_id", "level", "uri", "line")
+
+
+@query()
+def q_jsonl(spark, d):
+    from .sinks import snapshot_jsonl
+
+    return snapshot_jsonl(S.scored(V.fn(spark, d)), {"sha": "head", "ts": AS_OF})
+
+
+@query(with_views("SELECT count(*) AS total, count(*) FILTER (WHERE quadrant = 'fire') AS fire, count(*) FILTER (WHERE quadrant = 'debt') AS debt, count(*) FILTER (WHERE band IN ('high', 'critical')) AS high_plus FROM quads", "v_full", also={"thresholds": THRESHOLDS, "driven": DRIVER, "quads": QUADS}))
+def q_summary_cards(spark, d):
+    from .sinks import summary_cards
+
+    return summary_cards(_quads(spark, d))
+
+
+@query(with_views("SELECT function_id, round(lrs, 6) AS x, coalesce(touch_count_30d, churn_lines, 0)::DOUBLE AS y, upper(band[1]) AS band FROM v_full", "v_full"))
+def q_scatter(spark, d):
+    from .sinks import scatter_rows
+
+    return scatter_rows(V.enriched(spark, d)).select("function_id", *r6("x"), "y", "band")
+
+
+@query(with_views("SELECT k, count(*) AS functions, round(sum(lrs), 6) AS total_risk, count(*) FILTER (WHERE lrs >= 9) AS critical, count(*) FILTER (WHERE lrs >= 6 AND lrs < 9) AS high, count(*) FILTER (WHERE lrs >= 3 AND lrs < 6) AS moderate, count(*) FILTER (WHERE lrs < 3) AS low FROM v_snap WHERE k IN (SELECT k FROM (SELECT DISTINCT k FROM v_snap ORDER BY k DESC LIMIT 5)) GROUP BY k", "v_snap"))
+def q_history_rows(spark, d):
+    from .sinks import history_rows
+
+    s = V.snapshots(spark, d)
+    return history_rows(s.withColumn("band", S.band(F.col("lrs"))), 5).select("k", "functions", *r6("total_risk"), "critical", "high", "moderate", "low")
+
+
+@query()
+def q_extract(spark, d):
+    """Functions of small generated sources in five languages, one for each document id."""
+    from ..operators.extract import reports
+
+    i = F.col("doc_id")
+    n = i.cast("string")
+    py = F.concat(F.lit("def f"), n, F.lit("(x):\n    for a in x:\n        if a and g(a):\n            return a\n"))
+    brace = lambda head: F.concat(F.lit(head), n, F.lit("(x) {\n  while (x) { if (x && g(x)) { return x; } }\n}\n"))
+    x = V.table(spark, d, "documents").select(F.concat(F.lit("src/d"), n).alias("path"), F.element_at(F.array(*map(F.lit, ["Python", "JavaScript", "C"])), (i % 3 + 1).cast("int")).alias("language"), F.when(i % 3 == 0, py).when(i % 3 == 1, brace("function f")).otherwise(brace("int f")).alias("text"))
+    return reports(x).select("function_id", "language", "line", "cc", "nd", "fo", "ns", "loc", F.round("lrs", 6).alias("lrs"), "band")

@@ -31,12 +31,16 @@ def call_edges(reports: DataFrame, imports: DataFrame | None = None) -> DataFram
     return J.resolve_callees(calls, defs, imports)
 
 
-def import_edges(files: DataFrame) -> DataFrame:
-    """(src_file, dst_file) of ECMAScript and Python files."""
-    raw = files.select("path", "language", F.explode(SF.raw_imports(F.col("text"), F.col("language"))).alias("target"))
-    ecma = F.col("language").isin("TypeScript", "TypeScriptReact", "JavaScript", "JavaScriptReact", "Vue")
-    cand = F.when(ecma, SF.ecmascript_candidates(F.col("path"), F.col("target"))).when(F.col("language") == "Python", SF.python_candidates(F.col("path"), F.col("target")))
-    return J.resolve_imports(raw.select(F.col("path").alias("src_file"), cand.alias("candidates")).filter("candidates is not null"), files.select(F.col("path").alias("file")))
+def import_edges(files: DataFrame, manifests: DataFrame | None = None) -> DataFrame:
+    """(src_file, dst_file) of all languages; manifests (directory, text) of crates add the edges of workspace members."""
+    c = F.col
+    raw = files.select(c("path").alias("src_file"), "language", F.explode(SF.raw_imports(c("text"), c("language"))).alias("target"))
+    names = files.select(c("path").alias("file"))
+    ecma = c("language").isin("TypeScript", "TypeScriptReact", "JavaScript", "JavaScriptReact", "Vue")
+    cand = F.when(ecma, SF.ecmascript_candidates(c("src_file"), c("target"))).when(c("language") == "Python", SF.python_candidates(c("src_file"), c("target"))).when(c("language") == "Rust", SF.rust_candidates(c("src_file"), c("target")))
+    out = J.resolve_imports(raw.select("src_file", cand.alias("candidates")).filter("candidates is not null"), names)
+    out = out.unionByName(SF.suffix_imports(raw.filter(c("language").isin("Java", "CSharp")), names)).unionByName(SF.package_imports(raw.filter("language = 'Go'"), names))
+    return (out.unionByName(SF.workspace_edges(manifests, names)) if manifests is not None else out).distinct()
 
 
 def enrich(reports: DataFrame, edges: DataFrame, commit_files: DataFrame | None, as_of: int | None, config: Config = Config()) -> DataFrame:

@@ -122,6 +122,12 @@ def raw_imports(text: Column, lang: Column) -> Column:
     return out
 
 
+def crate_names(manifests: DataFrame) -> DataFrame:
+    """manifests (directory, text) -> (crate, src_dir): package names as in use paths."""
+    name = F.regexp_replace(F.regexp_extract("text", '(?s)\\[package\\].*?name\\s*=\\s*"([^"]+)"', 1), "-", "_")
+    return manifests.select(name.alias("crate"), F.concat("directory", F.lit("/src")).alias("src_dir")).filter("crate <> ''")
+
+
 def normalized(path: Column) -> Column:
     """A path without '.' and 'x/..' parts."""
     step = lambda acc, x: F.when((x == "") | (x == "."), acc).when((x == "..") & (F.size(acc) > 0), F.slice(acc, F.lit(1), F.size(acc) - 1)).otherwise(F.array_append(acc, x))
@@ -144,6 +150,54 @@ def python_candidates(path: Column, target: Column) -> Column:
     return F.array(F.concat(base, F.lit(".py")), F.concat(base, F.lit("/__init__.py")))
 
 
+def rust_candidates(path: Column, target: Column) -> Column:
+    """Where a use path may lie below the crate's src or, for super and self, the file's module: the longest prefix first, as x.rs or x/mod.rs."""
+    parts = F.split(F.regexp_replace(target, "^(crate|self|super)(::)?", ""), "::")
+    root = F.when(target.startswith("super"), F.regexp_replace(F.regexp_extract(path, "^(.*)/[^/]*$", 1), "/?[^/]*$", "")).when(target.startswith("self"), F.regexp_extract(path, "^(.*)/[^/]*$", 1)).otherwise(F.regexp_extract(path, "^(.*?\\bsrc)/", 1))
+    sizes = F.reverse(F.sequence(F.lit(1), F.greatest(F.size(parts), F.lit(1))))
+    each = F.transform(sizes, lambda n: F.concat_ws("/", F.nullif(root, F.lit("")), F.array_join(F.slice(parts, F.lit(1), n), "/")))
+    found = F.flatten(F.transform(each, lambda x: F.array(F.concat(x, F.lit(".rs")), F.concat(x, F.lit("/mod.rs")))))
+    return F.when(target.rlike("^(crate|self|super)(::|$)"), found).otherwise(F.array().cast("array<string>"))
+
+
+STDLIB = "^(java|javax|jdk|sun|org\\.w3c|System|Microsoft)(\\.|$)"
+
+
+def suffix_imports(raw: DataFrame, files: DataFrame) -> DataFrame:
+    """raw (src_file, target) of Java and C#, files (file) -> (src_file, dst_file): the file whose path ends in the class's, the smallest of several. Each file is exploded into its suffixes, so the join is by equality."""
+    ext = F.regexp_extract("src_file", "(\\.[a-z]+)$", 1)
+    want = raw.filter(~F.col("target").rlike(STDLIB)).select("src_file", F.concat(F.regexp_replace(F.regexp_replace("target", "\\.\\*$", ""), "\\.", "/"), ext).alias("tail"))
+    parts = F.split("file", "/")
+    tails = files.select("file", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))).alias("tail"))
+    hit = want.join(tails, "tail").groupBy("src_file", "tail").agg(F.min("file").alias("dst_file"))
+    return hit.filter("src_file <> dst_file").select("src_file", "dst_file").distinct()
+
+
+def package_imports(raw: DataFrame, files: DataFrame) -> DataFrame:
+    """raw (src_file, target) of Go, files (file) -> (src_file, dst_file): the smallest file of a directory named like the package."""
+    folder = files.filter(F.col("file").endswith(".go")).select("file", F.regexp_extract("file", "([^/]+)/[^/]+$", 1).alias("name")).filter("name <> ''").groupBy("name").agg(F.min("file").alias("dst_file"))
+    want = raw.select("src_file", F.regexp_extract("target", "([^/]+)$", 1).alias("name"))
+    return want.join(folder, "name").filter("src_file <> dst_file").select("src_file", "dst_file").distinct()
+
+
+def manifest_dirs(paths: DataFrame) -> DataFrame:
+    """paths (path) -> (directory): directories that a manifest marks as subsystems."""
+    names = ["package.json", "Cargo.toml", "go.mod", "pom.xml", "build.gradle", "pyproject.toml", "setup.py", "composer.json", "Gemfile"]
+    p = F.col("path")
+    hit = F.regexp_extract(p, "([^/]+)$", 1).isin(*names) | p.endswith(".csproj")
+    d = F.regexp_extract(p, "^(.*)/[^/]*$", 1)
+    return paths.filter(hit).select(F.when(d == "", ".").otherwise(d).alias("directory")).distinct()
+
+
+def workspace_edges(manifests: DataFrame, files: DataFrame) -> DataFrame:
+    """manifests (directory, text) of crates, files (file) -> (src_file, dst_file): each source of a crate with the library root of every crate that its manifest names by path."""
+    deps = manifests.select("directory", F.explode(F.regexp_extract_all("text", F.lit('path\\s*=\\s*"([^"]+)"'), 1)).alias("rel"))
+    libs = deps.select("directory", F.concat(normalized(F.concat_ws("/", "directory", "rel")), F.lit("/src/lib.rs")).alias("dst_file")).join(files.select(F.col("file").alias("dst_file")), "dst_file", "left_semi")
+    parts = F.split("file", "/")
+    own = files.filter(F.col("file").endswith(".rs")).select(F.col("file").alias("src_file"), F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))).alias("directory"))
+    return own.join(libs, "directory").filter("src_file <> dst_file").select("src_file", "dst_file").distinct()
+
+
 MODELS = {
     "TypeScript": r"(?m)^\s*(?:export\s+)?(?:default\s+)?(?:abstract\s+)?(?:class|interface|type|enum)\s+([A-Z]\w*)",
     "Go": r"(?m)^\s*type\s+([A-Z]\w*)\s+(?:struct|interface)\b",

@@ -67,3 +67,17 @@ def test_text_columns(spark):
     assert got == {"Go": (["fmt", "a/b"], ["User"]), "Java": (["a.B"], ["Order"]), "Python": (["os", "."], ["P"]), "TypeScript": (["z", "w"], ["R"]), "Rust": (["crate::a::b"], ["T"])}
     paths = spark.createDataFrame([("a/b/../c/./d",), ("x",)], "p string")
     assert [r[0] for r in paths.select(SF.normalized(F.col("p"))).collect()] == ["a/c/d", "x"]
+
+
+def test_imports_of_other_languages(spark):
+    files = [
+        ("Java", "x/src/a/b/C.java", "import java.util.List;\nimport d.D;\n"), ("Java", "x/src/d/D.java", "import a.b.C;\n"), ("Go", "m/util/u.go", "package util\n"), ("Go", "m/main.go", 'import "e.org/m/util"\n'),
+        ("Rust", "k/src/lib.rs", "use crate::p::q::Thing;\n"), ("Rust", "k/src/p/q.rs", "use super::r::X;\n"), ("Rust", "k/src/p/mod.rs", ""), ("Rust", "k/src/r.rs", ""), ("Rust", "w/src/main.rs", ""),
+    ]
+    df = spark.createDataFrame([(p, lang, t) for lang, p, t in files], "path string, language string, text string")
+    manifests = spark.createDataFrame([("w", 'k = { path = "../k" }'), ("k", '[package]\nname = "my-k"')], "directory string, text string")
+    got = sorted(tuple(r) for r in import_edges(df, manifests).collect())
+    assert got == [("k/src/lib.rs", "k/src/p/q.rs"), ("k/src/p/q.rs", "k/src/r.rs"), ("m/main.go", "m/util/u.go"), ("w/src/main.rs", "k/src/lib.rs"), ("x/src/a/b/C.java", "x/src/d/D.java"), ("x/src/d/D.java", "x/src/a/b/C.java")]
+    assert [tuple(r) for r in SF.crate_names(manifests).collect()] == [("my_k", "k/src")]
+    paths = spark.createDataFrame([("a/package.json",), ("go.mod",), ("b/x.ts",)], "path string")
+    assert sorted(r[0] for r in SF.manifest_dirs(paths).collect()) == [".", "a"]
