@@ -20,7 +20,7 @@ SCHEMA = "path string, language string, text string, function string, line long,
 def extract(text: str, language: str) -> list[dict]:
     """The functions of one file; none where it doesn't parse."""
     try:
-        return extract_python(text) if language == "Python" else extract_braces(text, language)
+        return extract_python(text) if language == "Python" else extract_braces(text, "C" if language == "CHeader" else language)
     except (SyntaxError, ValueError, RecursionError, IndexError):
         return []
 

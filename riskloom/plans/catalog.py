@@ -868,7 +868,7 @@ def q_source_tokens(spark, d):
 _SRC = """SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '// risk-ignore: reason ' || doc_id::VARCHAR WHEN 1 THEN '// risk-ignore' WHEN 2 THEN '  // risk-ignored' ELSE '// other' END AS before FROM documents"""
 
 
-@query(f"SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'reason ' || doc_id::VARCHAR WHEN 1 THEN '' END AS suppression_reason FROM ({_SRC})")
+@query(f"SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'reason ' || doc_id::VARCHAR WHEN 1 THEN '' WHEN 2 THEN '' END AS suppression_reason FROM ({_SRC})")
 def q_suppression(spark, d):
     from ..sources.files import suppression
 

@@ -10,14 +10,14 @@ from pyspark.sql import functions as F
 
 LANGUAGES = {
     "ts": "TypeScript", "mts": "TypeScript", "cts": "TypeScript", "tsx": "TypeScriptReact", "js": "JavaScript", "mjs": "JavaScript", "cjs": "JavaScript", "jsx": "JavaScriptReact", "mjsx": "JavaScriptReact", "cjsx": "JavaScriptReact",
-    "mtsx": "TypeScriptReact", "ctsx": "TypeScriptReact", "go": "Go", "java": "Java", "py": "Python", "pyw": "Python", "rs": "Rust", "vue": "Vue", "cs": "CSharp", "c": "C", "h": "C",
+    "mtsx": "TypeScriptReact", "ctsx": "TypeScriptReact", "go": "Go", "java": "Java", "py": "Python", "pyw": "Python", "rs": "Rust", "vue": "Vue", "cs": "CSharp", "c": "C", "h": "CHeader",
 }
-SKIPPED = ["node_modules", "dist", "build", "out", "coverage", "target", "vendor", "venv", "__pycache__", "storybook-static", "generated", "__generated__"]
-VENDORED = "/vendor/|/vendored/|/third_party/|/third-party/|/static/js/|/node_modules/"
-DEFAULT_EXCLUDES = (
-    "**/*.test.*", "**/*.spec.*", "**/*_test.go", "**/*_test.py", "**/test_*.py", "**/*Test.java", "**/*Tests.java", "**/*Tests.cs", "**/__tests__/**", "**/__mocks__/**", "**/*.min.js", "**/*.bundle.js", "**/*.d.ts",
-    "**/*.pb.go", "**/*_pb2.py", "**/*.generated.*", "**/*.g.cs", "**/*.stories.*", "**/node_modules/**", "**/dist/**", "**/build/**", "**/vendor/**", "**/coverage/**", "**/target/**",
-)
+SKIPPED = sorted("__generated__ __pycache__ build coverage dist generated node_modules out storybook-static target vendor venv".split())
+VENDORED = "/(vendors?|third_?party|(assets|dist|public|static)/js)/"
+_DIRS = ".cache .next .nuxt .output .turbo .venv __generated__ __mocks__ __pycache__ __snapshots__ __tests__ build contrib deps dist extern external generated migrations node_modules out storybook-static target third_party thirdparty vendor venv"
+_FILES = "*.bundle.js *.generated.js *.generated.ts *.min.js *.min.ts *.pb.go *.pb.js *.pb.ts *_test.go *_test.py mock_*.go test_*.py zz_generated*.go"
+#: Tests, generated and vendored files, build output.
+DEFAULT_EXCLUDES = (*(f"**/*.{kind}.{ext}" for kind in ("spec", "test") for ext in ("js", "jsx", "ts", "tsx")), *(f"**/{d}/**" for d in _DIRS.split()), *(f"**/{f}" for f in _FILES.split()))
 
 
 def extension(path: Column) -> Column:
@@ -94,8 +94,7 @@ MARKER = "risk-ignore"
 def suppression(text: Column, line: Column, marker: str = MARKER) -> Column:
     """What the comment on the line before a function (1-based) says: NULL without the marker, '' without a reason, else the reason."""
     before = F.trim(F.when(line > 1, F.try_element_at(F.split(text, "\n"), (line - 1).cast("int"))))
-    head = f"^// *{re.escape(marker)}"
-    return F.when(before.rlike(head + "(:|\\s*$)"), F.trim(F.regexp_extract(before, head + ":?(.*)$", 1)))
+    return F.when(before.startswith(f"// {marker}"), F.trim(F.regexp_extract(before, "^[^:]*:?(.*)$", 1)))
 
 
 IMPORTS = {

@@ -89,24 +89,24 @@ def test_engine_from_source_to_trends(spark, tmp_path):
     e = Engine(spark, SnapshotStore(spark, str(tmp_path / "store")))
     log = spark.createDataFrame([("c1", 100, "a", "fix", "s/a.js", 5, 1)], "sha string, ts long, author string, subject string, file string, lines_added long, lines_deleted long")
     branch = "if (a && b) { for (;;) { if (c) break; } }\n"
-    for i, n in enumerate([0, 6, 6, 1]):
+    for i, n in enumerate([0, 6, 1]):
         tree(src, branch * n + "x();\n")
         e.snapshot(str(src), f"c{i + 1}", [f"c{i}"] if i else [], 100 + i, log)
     with pytest.raises(ValueError):
-        e.snapshot(str(src), "c4", ["c3"], 104)
+        e.snapshot(str(src), "c3", ["c2"], 104)
     first = e.store.load("c1").filter("function = 'main'").first()
     assert (first["fan_out"], first["fan_in"], first["is_entrypoint"], first["dependency_depth"], first["quadrant"]) == (1, 0, True, 0, "watch")
     shown, policies = e.diff("c1", "c2")
     assert [r["function_id"] for r in shown.collect()] == ["s/a.js::helper"] and policies.filter("id = 'rapid-growth'").count() == 1
     v, s, r = e.trends()
     assert v.count() == 2 and s.count() == 2 and [x["outcome"] for x in r.collect()] == ["successful"]
-    before = {f"c{i}": sorted(map(str, e.store.load(f"c{i}").select("function_id", "lrs").collect())) for i in range(1, 5)}
-    assert e.compact(1) == ["c2", "c3"]
+    before = {f"c{i}": sorted(map(str, e.store.load(f"c{i}").select("function_id", "lrs").collect())) for i in range(1, 4)}
+    assert e.compact(1) == ["c2"]
     assert {k: sorted(map(str, e.store.load(k).select("function_id", "lrs").collect())) for k in before} == before
-    assert e.compact(2, dry_run=True) == e.compact(2) == ["c3"] and e.store.load("c3") is None and e.store.load("c2") is not None
-    parents, tip = spark.createDataFrame([("c4", "c2"), ("c2", None)], "sha string, parent string"), spark.createDataFrame([("c4",)], "sha string")
+    assert e.compact(2) == []  # helper changed its band each time
+    parents, tip = spark.createDataFrame([("c3", "c2"), ("c2", None)], "sha string, parent string"), spark.createDataFrame([("c3",)], "sha string")
     assert e.prune(parents, tip, dry_run=True) == e.prune(parents, tip) == ["c1"]
-    assert [x["sha"] for x in e.store.index().collect()] == ["c2", "c4"]
+    assert [x["sha"] for x in e.store.index().collect()] == ["c2", "c3"]
 
 
 def test_streaming_touches(spark, tmp_path, small):
@@ -119,3 +119,13 @@ def test_streaming_touches(spark, tmp_path, small):
     q.processAllAvailable()
     q.stop()
     assert spark.table("touched").agg(F.sum("touches")).first()[0] == spark.read.parquet(src).count()
+
+
+def test_level_two_drops_what_changed_no_band(spark, tmp_path):
+    store = SnapshotStore(spark, str(tmp_path))
+    for i, x in enumerate([1.0, 2.0, 7.0, 7.5]):
+        df = spark.createDataFrame([("f", x, "high" if x > 6 else "low")], "function_id string, lrs double, band string")
+        store.persist(df, f"c{i}", [], i)
+    assert store.compact(1) == ["c1", "c2"] and store.load("c2").first()["lrs"] == 7.0
+    assert store.compact(2, dry_run=True) == store.compact(2) == ["c1"]
+    assert store.load("c1") is None and store.load("c2").first()["lrs"] == 7.0 and [r["sha"] for r in store.index().collect()] == ["c0", "c2", "c3"]
