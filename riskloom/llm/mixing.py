@@ -115,8 +115,8 @@ def mixed(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     s, k = fresh(docs, "_s", "_last")
     cut = plan.groupBy(F.col("source").alias(s)).agg(F.max(key).alias(k))
-    cut = docs.sparkSession.createDataFrame(cut.limit(MAX_SOURCES).collect(), cut.schema)
-    kept = docs.join(cut, (F.coalesce(col("source").cast("string"), F.lit("")) == F.col(s)) & (key <= F.col(k)))
+    cut = docs.sparkSession.createDataFrame(cut.limit(MAX_SOURCES).collect(), cut.schema)  # schedule() has checked their number
+    kept = docs.join(F.broadcast(cut), (F.coalesce(col("source").cast("string"), F.lit("")) == F.col(s)) & (key <= F.col(k)))
     return kept.select(*[docs[f"`{c}`"] for c in docs.columns])
 
 
