@@ -69,13 +69,15 @@ def links(keys: np.ndarray, ids: np.ndarray, prints: np.ndarray, near: Near) ->
 
 
 def posting_links(postings: DataFrame, near: Near, rows: int = 200_000) -> DataFrame:
-    """postings (key, id, p0..p3 long) -> links (a, b): pairs of one list for which near(prints, prints) holds, less those that others imply."""
+    """postings (key, id, and longs that ``near`` compares) -> links (a, b): pairs of one list for which near(prints, prints) holds, less those that others imply."""
+
+    width = len(postings.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
 
         def table(batch: pa.RecordBatch) -> np.ndarray:
-            return np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(6)], 1)
+            return np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(width)], 1)
 
         def out(part: np.ndarray) -> pa.RecordBatch:
             a, b = links(part[:, 0], part[:, 1], part[:, 2:].view(np.uint64), near)
@@ -94,7 +96,7 @@ def posting_links(postings: DataFrame, near: Near, rows: int = 200_000) -> DataF
             yield out(np.concatenate(held))
 
     n = postings.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    rows_ = postings.select("key", "id", "p0", "p1", "p2", "p3").repartition(int(n), "key").sortWithinPartitions("key")
+    rows_ = postings.repartition(int(n), "key").sortWithinPartitions("key")
     return rows_.mapInArrow(run, "a long, b long").distinct()
 
 
