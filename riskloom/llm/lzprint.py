@@ -136,8 +136,8 @@ def phrase_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     rows = stored(phrase_fingerprints(docs), "phrases")
     p = ["p0", "p1", "p2", "p3"]
     some = rows.filter("p0 is not null")
-    # Vertices are sketches; rows of equal sketch and bands, as copies are, are posted once.
-    postings = some.select(*p, "bands").distinct().select(F.explode("bands").alias("key"), F.xxhash64(*p).alias("id"), *p)
+    # Vertices are sketches. Rows of one sketch may differ in bands: each band of each is posted once.
+    postings = some.select(F.explode("bands").alias("key"), F.xxhash64(*p).alias("id"), *p).distinct()
     roots = components(posting_links(postings, near(similarity)))
     named = some.withColumn("id", F.xxhash64(*p)).join(roots, "id", "left").withColumn("g", F.coalesce("root", "id"))
     text = F.concat(*[F.lpad(F.lower(F.hex(x)), 16, "0") for x in p]).alias("sketch")
