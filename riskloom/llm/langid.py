@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import _LOWER, col, fresh, read, text_slices
@@ -24,8 +24,10 @@ BITS = 14
 #: Rows that the model is fitted to at most, and landmarks among them.
 MAX_ROWS, LANDMARKS = 4000, 192
 SEED, RIDGE = 3, 1e-2
-#: A text that resembles fewer than NEIGHBOUR landmarks by LEAST is in no known language, whatever the regression makes of it.
-NEIGHBOUR, LEAST = 8, 0.11
+#: A text is in a known language if its best score is a share SURE of the way from even odds (1 / languages) to 1. A short text may score lower if
+#: NEIGHBOUR landmarks hold a share LEAST of its n-grams; none whose share is below FLOOR is, as the fit may have learnt a mislabelled text by heart.
+#: With one language all scores are 1, so only this share tells, and it needs to be LONE.
+SURE, NEIGHBOUR, LEAST, FLOOR, LONE = 1 / 3, 8, 0.75, 0.3, 0.55
 
 
 def presence(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
@@ -56,11 +58,13 @@ class Model:
     bias: np.ndarray
 
     def scores(self, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(texts, languages) scores, and each text's resemblance: its kernel with the NEIGHBOUR-th nearest landmark."""
+        """(texts, languages) scores, and each text's resemblance: the share of its own n-grams, however few, that the NEIGHBOUR-th nearest landmark holds."""
         x = bits.astype(np.float32)
-        kernel = (x @ self.landmarks) / np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
+        root = np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
+        kernel = (x @ self.landmarks) / root
+        share = kernel / np.maximum(self.landmarks.max(0), 1e-6) / root
         k = min(NEIGHBOUR, kernel.shape[1])
-        return kernel @ self.coefficients + self.bias, np.partition(kernel, -k, axis=1)[:, -k]
+        return kernel @ self.coefficients + self.bias, np.partition(share, -k, axis=1)[:, -k]
 
 
 def fit_rows(packed: np.ndarray, langs: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE, seed: int = SEED) -> Model:
@@ -139,17 +143,26 @@ def identified(docs: DataFrame, model: Model | None, name: str, score: str, like
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.StringType()), T.StructField(score, T.DoubleType()), T.StructField(like, T.DoubleType())]))
 
 
+def known(model: Model, score: str, like: str, least: float = LEAST) -> Column:
+    """Whether a text with this score and resemblance is in one of the model's languages."""
+    even = 1 / len(model.names)
+    if len(model.names) == 1:
+        return F.coalesce(F.col(like) >= LONE, F.lit(False))
+    sure = (F.col(score) >= even + (1 - even) * SURE) & (F.col(like) >= FLOOR)
+    return F.coalesce(sure | (F.col(like) >= least), F.lit(False))
+
+
 def language_ids(docs: DataFrame, least: float = LEAST, max_rows: int = MAX_ROWS) -> DataFrame:
     """docs (doc_id, text, lang) -> (doc_id, lang, predicted, score, resemblance, kept).
 
-    kept: unless the resemblance is below ``least``, so that the text is in none of the languages. Texts that are NULL or have no letters or digits
+    kept: if known() by the score or, for short texts, a resemblance of ``least``; else the text is in none of the languages. Texts that are NULL or have no letters or digits
     have NULL predictions and are rejected only if they aren't NULL; without a model nothing is rejected. Repeated rows are identified each;
     an empty table gives no rows; extra columns are ignored.
     """
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     model = fit(docs, max_rows)
     out = identified(narrow, model, "predicted", "score", "resemblance")
-    kept = F.lit(True) if model is None else F.col("text").isNull() | F.coalesce(F.col("resemblance") >= least, F.lit(False))
+    kept = F.lit(True) if model is None else F.col("text").isNull() | known(model, "score", "resemblance", least)
     return out.select("doc_id", "lang", "predicted", "score", "resemblance", kept.alias("kept"))
 
 
@@ -160,7 +173,7 @@ def in_known_language(docs: DataFrame, least: float = LEAST, max_rows: int = MAX
     if model is None:
         return docs
     out = identified(docs, model, p, s, near)
-    return out.filter(col("text").isNull() | F.coalesce(F.col(near) >= least, F.lit(False))).select(*[col(c) for c in docs.columns])
+    return out.filter(col("text").isNull() | known(model, s, near, least)).select(*[col(c) for c in docs.columns])
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

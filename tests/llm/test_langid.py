@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import pyarrow as pa
 
@@ -45,6 +47,39 @@ def test_clean_documents_stay_and_foreign_ones_go(spark):
     assert not any(out[i]["kept"] for i in (-1, -2, -3)) and np.mean([r["kept"] for i, r in out.items() if i >= 0]) > 0.995
 
 
+FOREIGN = [
+    "La mattina presto il vecchio pescatore scendeva verso il porto e guardava le barche che tornavano cariche di pesce mentre i bambini correvano lungo la strada",
+    "Sabah erken saatlerde yaşlı balıkçı limana doğru yürüyor ve balıkla dolu dönen tekneleri izliyordu çocuklar sokak boyunca koşuyor",
+    "Varhain aamulla vanha kalastaja käveli satamaan ja katseli veneitä jotka palasivat täynnä kalaa samalla kun lapset juoksivat pitkin katua",
+    "Asubuhi na mapema mvuvi mzee alitembea kuelekea bandarini na kutazama mashua zilizokuwa zikirudi zimejaa samaki wakati watoto walikimbia barabarani",
+    "Wczesnym rankiem stary rybak szedł w stronę portu i patrzył na łodzie które wracały pełne ryb podczas gdy dzieci biegały wzdłuż ulicy",
+    "Sáng sớm người đánh cá già đi về phía bến cảng và nhìn những chiếc thuyền trở về đầy cá trong khi trẻ em chạy dọc con phố",
+    "Kora reggel az öreg halász a kikötő felé sétált és nézte a hajókat amelyek tele hallal tértek vissza miközben a gyerekek az utcán futottak",
+]
+
+
+def test_foreign_latin_script_and_letter_junk_go_and_short_clean_texts_stay(spark):
+    docs = read(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text", "lang")
+    r = random.Random(5)
+    words = lambda letters, n: " ".join("".join(r.choices(letters, k=r.randint(2, 9))) for _ in range(n))
+    abc = "abcdefghijklmnopqrstuvwxyz"
+    junk = [words(a, n) for a in (abc, abc + abc.upper() + "0123456789+/", "bcdfghjklmnpqrstvwxz") for n in (15, 100, 2000)]
+    odd = [*FOREIGN, *(x[:60] for x in FOREIGN), *((x + " ") * 30 for x in FOREIGN), *junk]
+    clean = ["the cat and the dog", "That was in the hand.", "le chat est sur la table", "les uns et les autres", "der Mann und die Frau", "el perro y la casa", "The"]
+    new = spark.createDataFrame([(-1 - i, t, "en") for i, t in enumerate(odd)] + [(10**6 + i, t, "en") for i, t in enumerate(clean)], "doc_id long, text string, lang string")
+    model = L.fit(docs)
+    out = L.identified(new, model, "p", "s", "r").select("doc_id", "text", L.known(model, "s", "r").alias("kept")).collect()
+    wrong = [(r["doc_id"], r["text"][:60]) for r in out if r["kept"] != (r["doc_id"] >= 0)]
+    assert not wrong
+
+
+def test_one_language_alone_still_rejects(spark):
+    docs = read(spark, "/root/testdata/sf0.01", "documents").filter("lang = 'en'").select("doc_id", "text", "lang")
+    new = spark.createDataFrame([(-1 - i, t, None) for i, t in enumerate(FOREIGN)], "doc_id long, text string, lang string")
+    out = L.language_ids(docs.unionByName(new)).collect()
+    assert not any(r["kept"] for r in out if r["doc_id"] < 0) and np.mean([r["kept"] for r in out if r["doc_id"] >= 0]) > 0.99
+
+
 def test_edges(spark):
     rows = [(i, "the words of one language" if i % 2 else "les mots de la langue", "en" if i % 2 else "fr", 0) for i in range(20)]
     rows += [(None, None, "en", 0), (50, "", "en", 0), (51, "the words", None, 0), (None, "les mots de", "", 0), (1, rows[1][1], "en", 0), (52, "the words of " * 50_000, "en", 0)]
