@@ -1,7 +1,8 @@
 """A WARC reader that salvages damaged archives.
 
 Records are taken one after another: gzip members (one or more records each) or plain records, which may alternate in one file. A record
-counts only if its member's checksum, its header, its Content-Length, the closing blank lines and its block digest hold. Where a check fails,
+counts only if its header, its Content-Length, the closing blank lines, its block digest and its member's checksum hold; of a member with a
+fault, records away from the fault count too. Where a check fails,
 the reader searches onwards for the next gzip magic or version line at which a whole valid record stands, goes on from there, and
 logs the bytes in between as a quarantined gap. Records and gaps together cover each file without overlap.
 """
@@ -21,7 +22,10 @@ from pyspark.sql import functions as F
 
 from .common import read
 
+#: Compressed bytes that are taken at once.
+STEP = 1 << 16
 _NEXT = re.compile(rb"\x1f\x8b\x08|WARC/[01]\.[0-9]+\r?\n")
+_BLANK = re.compile(rb"\r\n\r\n|\n\n")
 _VERSION = re.compile(rb"WARC/[01]\.[0-9]+\r?\n")
 SCHEMA = "path string, start long, length long, kind string, reason string, record_type string, record_id string, uri string, block binary"
 
@@ -53,10 +57,10 @@ def _plain(data: memoryview, raw: bytes, at: int) -> tuple[dict[str, str], bytes
     """The record at ``at``: (headers, block, end)."""
     if not _VERSION.match(raw, at):
         raise _Bad("no version line")
-    crlf, lf = raw.find(b"\r\n\r\n", at, at + 65536), raw.find(b"\n\n", at, at + 65536)
-    if crlf < 0 and lf < 0:
+    blank = _BLANK.search(raw, at)
+    if not blank:
         raise _Bad("header without end")
-    nl, stop = (b"\r\n", crlf) if crlf >= 0 and (lf < 0 or crlf < lf) else (b"\n", lf)
+    nl, stop = blank[0][: len(blank[0]) // 2], blank.start()
     headers = {}
     for line in raw[at:stop].decode("utf-8", "replace").splitlines()[1:]:
         name, colon, value = line.partition(":")
@@ -77,53 +81,87 @@ def _plain(data: memoryview, raw: bytes, at: int) -> tuple[dict[str, str], bytes
     return headers, block, end + 2 * len(nl)
 
 
-def _member(data: memoryview, at: int) -> tuple[bytes, int]:
-    """The gzip member at ``at``: (content, end)."""
+def _member(data: memoryview, at: int) -> tuple[bytes, int, str]:
+    """The gzip member at ``at``: (content, end, reason). If its stream breaks, the content is what comes out before, the end where the broken part begins and the reason not empty."""
     z, out, pos = zlib.decompressobj(31), [], at
     try:
         while not z.eof:
-            part = data[pos : pos + 65536]
+            part = data[pos : pos + STEP]
             if not len(part):
-                raise _Bad("truncated member")
+                return b"".join(out), pos, "truncated member"
             out.append(z.decompress(part))
             pos += len(part)
     except zlib.error as e:
-        raise _Bad("checksum or stream error" if "check" in str(e) else "corrupt member") from None
-    return b"".join(out), pos - len(z.unused_data)
+        why = "checksum or stream error" if "check" in str(e) else "corrupt member"
+        # The step that fails gives nothing back: byte by byte it gives what comes before the fault.
+        z, out = zlib.decompressobj(31), []
+        try:
+            out.append(z.decompress(data[at:pos]))
+            for i in range(pos, min(pos + STEP, len(data))):
+                out.append(z.decompress(data[i : i + 1]))
+        except zlib.error:
+            pass
+        return b"".join(out), pos, why
+    return b"".join(out), pos - len(z.unused_data), ""
+
+
+def _inside(inner: bytes) -> tuple[list[tuple[dict[str, str], bytes]], str]:
+    """The valid records of a member's content, and why others aren't: empty if all are."""
+    view, records, pos, why = memoryview(inner), [], 0, ""
+    while pos < len(inner):
+        try:
+            headers, block, pos = _plain(view, inner, pos)
+            records.append((headers, block))
+        except _Bad as e:
+            why = why or str(e)
+            found = _VERSION.search(inner, pos + 1)
+            pos = found.start() if found else len(inner)
+    return records, why or ("" if records else "empty member")
 
 
-def _take(data: memoryview, raw: bytes, at: int) -> tuple[list[Record], int]:
-    """The records of the member or plain record at ``at``."""
+def _take(data: memoryview, raw: bytes, at: int) -> tuple[list[Record], int, str]:
+    """The records of the member or plain record at ``at``, its end, and the reason if it is damaged: then the end is where to search on."""
     if raw[at : at + 3] != b"\x1f\x8b\x08":
         headers, block, end = _plain(data, raw, at)
-        return [Record(at, end, headers, block)], end
-    inner, end = _member(data, at)
-    view, records, pos = memoryview(inner), [], 0
-    while pos < len(inner):
-        headers, block, pos = _plain(view, inner, pos)
-        records.append(Record(at, end, headers, block))
-    if not records:
-        raise _Bad("empty member")
-    return records, end
+        return [Record(at, end, headers, block)], end, ""
+    inner, end, broken = _member(data, at)
+    found, why = _inside(inner)
+    if broken and not why and broken != "truncated member":
+        found = []  # all blocks are whole, so the fault is in some header, which nothing else checks
+    if broken:
+        found = [(h, b) for h, b in found if h.get("warc-block-digest", "").startswith("sha1:")]
+    if not found:
+        raise _Bad(broken or why)
+    if broken:  # its end isn't known: the next valid member or record ends it
+        return [Record(at, at, h, b) for h, b in found], at, broken
+    return [Record(at, end, h, b) for h, b in found], end, why
 
 
 def salvage(raw: bytes) -> Iterator[Record | Gap]:
-    """All valid records of an archive and the gaps between them, in order."""
+    """All valid records of an archive and the gaps between them, in order.
+
+    Of a gzip member that holds a damaged record the valid ones are given, and a gap of no length behind it says why others aren't. Of one
+    whose stream breaks or whose checksum fails, those are given whose own digest holds, if the fault is seen to lie elsewhere: their length is 0, and the member's bytes are a gap.
+    """
     data, pos, lost, why = memoryview(raw), 0, None, ""
     while pos < len(raw):
         try:
-            records, end = _take(data, raw, pos)
+            records, end, broken = _take(data, raw, pos)
         except _Bad as e:
-            if lost is None:
-                lost, why = pos, str(e)
-            found = _NEXT.search(raw, pos + 1)
-            pos = found.start() if found else len(raw)
-            continue
-        if lost is not None:
+            records, end, broken = [], pos, str(e)
+        if records and lost is not None:
             yield Gap(lost, pos, why)
             lost = None
         yield from records
-        pos = end
+        if end > pos:
+            pos = end
+            if broken:
+                yield Gap(end, end, broken)
+            continue
+        if lost is None:
+            lost, why = pos, broken
+        found = _NEXT.search(raw, pos + 1)
+        pos = found.start() if found else len(raw)
     if lost is not None:
         yield Gap(lost, len(raw), why)
 

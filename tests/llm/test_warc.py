@@ -63,6 +63,35 @@ def test_digest_and_length_are_checked():
     assert read(gzip.compress(b"not a record"))[1][0].reason
 
 
+def test_long_headers_are_read_to_their_end():
+    url = "data:text/plain," + "x" * 200_000
+    for gz in (True, False):
+        records, gaps = read(W.member(1, url, "a", gzip=gz) + W.member(2, "u", "b", gzip=gz))
+        assert not gaps and [r.headers["warc-target-uri"] for r in records] == [url, "u"]
+
+
+def test_valid_records_of_a_damaged_member_are_salvaged():
+    plain = [W.member(i, f"u{i}", "".join(chr(97 + (i * 7 + k * k) % 26) for k in range(400)) + str(i), gzip=False) for i in range(60)]
+    ids = lambda records: [int(r.headers["warc-record-id"][10:-1]) for r in records]
+    last = W.member(99, "z", "last")
+    # One record is bad in an intact member.
+    bad = gzip.compress(b"".join([*plain[:5], plain[5].replace(b"Content-Length: 4", b"Content-Length: 9"), *plain[6:]]))
+    records, gaps = read(bad + last)
+    assert ids(records) == [i for i in range(60) if i != 5] + [99] and [(g.start, g.end) for g in gaps] == [(len(bad), len(bad))]
+    # The stream breaks off, at the end of the file or before another member.
+    whole = gzip.compress(b"".join(plain))
+    for tail in (b"", last):
+        cut = whole[: len(whole) // 2]
+        records, gaps = read(cut + tail)
+        got = ids(records)
+        assert 5 < len(got) < 60 and got[: len(got) - bool(tail)] == list(range(len(got) - bool(tail))) and (not tail or got[-1] == 99)
+        assert [(g.start, g.end) for g in gaps] == [(0, len(cut))]
+    # A header altered under a wrong checksum can't be told from a good one.
+    one = gzip.compress(plain[0].replace(b"u0", b"u1"), mtime=0)[:-8] + gzip.compress(plain[0], mtime=0)[-8:]
+    records, gaps = read(one + last)
+    assert ids(records) == [99] and [(g.start, g.end) for g in gaps] == [(0, len(one))]
+
+
 def test_query_against_brute_force(spark):
     rows = pages(300)
     df = spark.createDataFrame([(*p, "clash") for p in rows], "page_id long, url string, html string, kind string").repartition(3)
