@@ -796,7 +796,7 @@ def q_isolation_forest(spark, d):
 @query()
 def q_random_forest(spark, d):
     x = _features(spark, d)
-    return R.ranked(x, R.fit_forest(x, R.FEATURES, "label", trees=50), R.FEATURES).select("function_id", F.round("score", 6).alias("score"))
+    return R.ranked(x, R.fit_forest(x, R.FEATURES, "label"), R.FEATURES).select("function_id", F.round("score", 6).alias("score"))
 
 
 @query()

@@ -129,3 +129,17 @@ def test_level_two_drops_what_changed_no_band(spark, tmp_path):
     assert store.compact(1) == ["c1", "c2"] and store.load("c2").first()["lrs"] == 7.0
     assert store.compact(2, dry_run=True) == store.compact(2) == ["c1"]
     assert store.load("c1") is None and store.load("c2").first()["lrs"] == 7.0 and [r["sha"] for r in store.index().collect()] == ["c0", "c2", "c3"]
+
+
+def test_random_forest_query_fits_the_references_200_trees(spark, small, monkeypatch):
+    from riskloom.plans import catalog
+
+    made, fit = [], catalog.R.fit_forest
+
+    def fitted(*args, **kwargs):
+        made.append(fit(*args, **kwargs))
+        return made[-1]
+
+    monkeypatch.setattr(catalog.R, "fit_forest", fitted)
+    assert catalog.QUERIES["q_random_forest"](spark, small).count() > 0
+    assert any(getattr(s, "getNumTrees", None) == 200 for m in made for s in getattr(m, "stages", [m]))
