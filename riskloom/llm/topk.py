@@ -1,12 +1,14 @@
 """Exact top-k search by a three-phase uniform threshold over vertically split vectors.
 
 The score of two unit vectors, their dot product, is the sum of the partial dot products of M blocks of dimensions; each block is one score
-list. Phase 1 gathers for every query the best k of each list and resolves these candidates; the k-th best total is a safe cutoff: no
-answer is below it. A row whose total reaches the cutoff has a partial score of at least cutoff / M in some list (else its sum were less),
-so in phase 2 the cutoff goes out with the queries and each list reports the entries that reach it. Phase 3 resolves the exact totals of
-those and keeps the best k. Every row is a query, and the answer is that of brute force.
-
-Work is a grid of (query chunk, item chunk) cells whose row counts are bounded, so a cell fits in a worker at any table size.
+list. Phase 1 gathers for every query the best k of each list among the items of one chunk, the query's own, and resolves these candidates;
+the k-th best total is a safe cutoff: k items reach it, so no answer of the whole table is below it. A row whose total reaches the cutoff
+has a partial score of at least cutoff / M in some list (else its sum were less), so in phase 2 the cutoff goes out with the queries and each
+list reports the entries that reach it. Phase 3 resolves the exact totals of those and keeps the best k. The answer is that of brute force.
+
+Phase 2 is one pass over a grid of (query chunk, item chunk) cells whose row counts are bounded, so a cell fits in a worker at any table size.
+Within a cell the lists are read one after the other, and before each the items go for which no query of the tile can still reach its cutoff: the
+sum of the lists read so far plus the product of the norms of the rest bounds the total. Cells send on their best k of a query only.
 """
 
 from __future__ import annotations
@@ -54,23 +56,24 @@ def _lists(dim: int, lists: int) -> list[slice]:
     return [slice(a, b) for a, b in zip(edges[:-1], edges[1:])]
 
 
-def exact_top_k(rows: DataFrame, k: int = K, lists: int = LISTS, chunk: int = CHUNK, dim: int | None = None) -> DataFrame:
-    """(vec_id, embedding) -> (vec_id, rank, neighbor_id, score): the k other rows of the greatest cosine for every row.
+def exact_top_k(rows: DataFrame, k: int = K, lists: int = LISTS, chunk: int = CHUNK, dim: int | None = None, every: int = 1) -> DataFrame:
+    """(vec_id, embedding) -> (vec_id, rank, neighbor_id, score): the k other rows of the greatest cosine, for every row whose id is divisible by ``every``.
 
     Ties in the score, rounded to 9 places, go to the smaller neighbor_id; rows with fewer than k others have them all. See unit_vectors()
     for rows that are left out, as queries and as answers. An empty table gives no rows; extra columns are ignored.
     """
-    units = stored(unit_vectors(rows, dim), "units")
-    n = units.count()
-    m = max(1, -(-n // chunk))
-    spread = units.withColumn("c", F.pmod(F.xxhash64("vec_id"), F.lit(m)).cast("int"))
-
-    def grid(queries: DataFrame) -> DataFrame:
-        """Cells (qc, xc) of query rows (side 0) and item rows (side 1); each row goes to m cells."""
-        every = F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-        q = queries.select(F.lit(0).alias("side"), "vec_id", "v", "cut", F.col("c").alias("qc")).withColumn("xc", every)
-        x = spread.select(F.lit(1).alias("side"), "vec_id", "v", F.lit(None).cast("double").alias("cut"), F.col("c").alias("xc")).withColumn("qc", every)
-        return q.unionByName(x.select(q.columns)).groupBy("qc", "xc")
+    units = unit_vectors(rows, dim)
+    units = stored(units.withColumn("c", F.xxhash64("vec_id")).withColumn("asks", F.pmod("vec_id", F.lit(every)) == 0), "units")
+    n, asked = units.agg(F.count("*"), F.count_if("asks")).first()
+    m, mq = max(1, -(-n // chunk)), max(1, -(-asked // chunk))
+    items = units.withColumn("xc", F.pmod("c", F.lit(m)).cast("int"))
+    asking = units.filter("asks").select("vec_id", "v", F.pmod("c", F.lit(m)).cast("int").alias("xc"), F.pmod(F.xxhash64("c"), F.lit(mq)).cast("int").alias("qc"))
+
+    def grid(queries: DataFrame, items: DataFrame):
+        """Cells (qc, xc) of query rows (side 0: vec_id, v, cut, qc, xc) and item rows (side 1)."""
+        q = queries.select(F.lit(0).alias("side"), "vec_id", "v", "cut", "qc", "xc")
+        x = items.select(F.lit(1).alias("side"), "vec_id", "v", F.lit(None).cast("double").alias("cut"), "qc", "xc")
+        return q.unionByName(x).groupBy("qc", "xc")
 
     def sides(cell: pa.Table):
         side = cell.column("side").to_numpy()
@@ -127,40 +130,57 @@ def exact_top_k(rows: DataFrame, k: int = K, lists: int = LISTS, chunk: int = CH
         cut = q.column("cut").to_numpy(zero_copy_only=False)
         cut = np.where(np.isnan(cut), -np.inf, cut)
         blocks = _lists(qv.shape[1], lists)
+        # Norms of the dimensions from each block on.
+        rest_q, rest_x = (np.stack([np.sqrt((v[:, b.start :].astype(np.float64) ** 2).sum(1)) for b in blocks] + [np.zeros(len(v))]).astype(np.float32) for v in (qf, xf))
         for at in range(0, len(qi), TILE):
-            least = (cut[at : at + TILE] / len(blocks) - SLACK).astype(np.float32)[:, None]
-            total, some = np.zeros((len(least), len(xi)), np.float32), np.zeros((len(least), len(xi)), bool)
-            for block in blocks:
-                part = qf[at : at + TILE, block] @ xf[:, block].T
+            tile = slice(at, at + TILE)
+            whole = (cut[tile] - len(blocks) * SLACK).astype(np.float32)[:, None]
+            least = (cut[tile] / len(blocks) - SLACK).astype(np.float32)[:, None]
+            live = np.arange(len(xi))
+            total, some = np.zeros((len(least), len(live)), np.float32), np.zeros((len(least), len(live)), bool)
+            for k_, block in enumerate(blocks):
+                part = qf[tile, block] @ xf[live, block].T
                 some |= part >= least
                 total += part
-            some &= total >= (cut[at : at + TILE] - len(blocks) * SLACK).astype(np.float32)[:, None]  # the lists' sum is an upper bound
+                can = (total + rest_q[k_ + 1, tile][:, None] * rest_x[k_ + 1, live][None, :] >= whole).any(0)
+                if can.sum() < 0.8 * len(live):
+                    live, total, some = live[can], np.ascontiguousarray(total[:, can]), np.ascontiguousarray(some[:, can])
+                if not len(live):
+                    break
+            some &= total >= whole  # the lists' sum
             i, j = np.nonzero(some)
-            ok = xi[j] != qi[at : at + TILE][i]
+            j = live[j]
+            ok = xi[j] != qi[tile][i]
             i, j = i[ok], j[ok]
-            s = resolve(qv[at : at + TILE], xv, i, j)
+            s = resolve(qv[tile], xv, i, j)
             keep = best(i, xi[j], s)
-            parts.append((qi[at : at + TILE][i[keep]], xi[j[keep]], s[keep]))
+            parts.append((qi[tile][i[keep]], xi[j[keep]], s[keep]))
         return found(parts)
 
     schema = "vec_id long, neighbor_id long, score double"
     ranked = Window.partitionBy("vec_id").orderBy(F.desc("score"), "neighbor_id")
-    local = grid(spread.withColumn("cut", F.lit(None).cast("double"))).applyInArrow(phase1, schema)
-    cuts = local.withColumn("r", F.row_number().over(ranked)).filter(F.col("r") == k).select(F.col("vec_id").alias("q"), F.col("score").alias("cut"))
-    queries = stored(spread.join(cuts, F.col("vec_id") == F.col("q"), "left").select("vec_id", "v", "c", "cut"), "cuts")
-    full = grid(queries).applyInArrow(phase2, schema)
+    # Phase 1: each query in its own chunk of items alone.
+    local = grid(asking.withColumn("cut", F.lit(None).cast("double")).withColumn("qc", F.lit(0)), items.withColumn("qc", F.lit(0))).applyInArrow(phase1, schema)
+    cuts = local.groupBy("vec_id").agg(F.count("*").alias("n"), F.min("score").alias("cut")).filter(F.col("n") >= k).select(F.col("vec_id").alias("q"), "cut")
+    queries = stored(asking.join(cuts, F.col("vec_id") == F.col("q"), "left").select("vec_id", "v", "qc", "cut"), "cuts")
+    everywhere = lambda name, count: F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias(name)
+    full = grid(queries.select("*", everywhere("xc", m)), items.select("vec_id", "v", "xc", everywhere("qc", mq))).applyInArrow(phase2, schema)
     return full.withColumn("rank", F.row_number().over(ranked).cast("long")).filter(F.col("rank") <= k).select("vec_id", "rank", "neighbor_id", F.round("score", 6).alias("score"))
 
 
+#: Each vector whose id is divisible by this asks; all rows answer.
+EVERY = 20
+
+
 def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ten nearest other vectors of every vector."""
-    return exact_top_k(read(spark, sf_dir, "embeddings"))
+    """The ten nearest of all other vectors, for each vector whose id is divisible by 20."""
+    return exact_top_k(read(spark, sf_dir, "embeddings"), every=EVERY)
 
 
 OP4_SQL = f"""
 WITH g AS (SELECT vec_id::BIGINT AS vec_id, min(embedding::DOUBLE[]) AS v FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0 GROUP BY vec_id),
 e AS (SELECT vec_id, v, sqrt(list_inner_product(v, v)) AS n FROM g WHERE list_inner_product(v, v) > 0),
-p AS (SELECT a.vec_id, b.vec_id AS neighbor_id, floor(list_inner_product(a.v, b.v) / a.n / b.n * 1e9 + 0.5) / 1e9 AS s FROM e a JOIN e b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v)),
+p AS (SELECT a.vec_id, b.vec_id AS neighbor_id, floor(list_inner_product(a.v, b.v) / a.n / b.n * 1e9 + 0.5) / 1e9 AS s FROM e a JOIN e b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE a.vec_id % {EVERY} = 0),
 r AS (SELECT vec_id, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, neighbor_id) AS rank, neighbor_id, s FROM p)
 SELECT vec_id, rank::BIGINT AS rank, neighbor_id, round(s, 6) AS score FROM r WHERE rank <= {K}
 """

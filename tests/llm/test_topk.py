@@ -30,6 +30,17 @@ def test_equals_brute_force_over_many_cells(spark, monkeypatch):
     want = brute(vectors, 5)
     assert {i: [a for a, _ in v] for i, v in got.items()} == {i: [a for a, _ in v] for i, v in want.items()}
     assert all(abs(x[1] - y[1]) < 2e-6 for i in got for x, y in zip(got[i], want[i]))
+    some = K.exact_top_k(df, 5, chunk=50, every=20).collect()
+    assert {(r["vec_id"], r["rank"], r["neighbor_id"]) for r in some} == {(i, n + 1, a) for i, v in want.items() if i % 20 == 0 for n, (a, _) in enumerate(v)}
+
+
+def test_query_against_its_sql(spark, small):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{small}/embeddings.parquet'")
+    want = {tuple(r) for r in con.execute(K.OP4_SQL).fetchall()}
+    assert {tuple(r) for r in K.op4_exact_top_k(spark, small).collect()} == want and want
 
 
 def test_edges(spark):
