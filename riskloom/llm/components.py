@@ -63,41 +63,78 @@ def links(keys: np.ndarray, ids: np.ndarray, prints: np.ndarray, near: Near) ->
     if not a:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     a, b = np.concatenate(a), np.concatenate(b)
+    if not len(a):
+        return a, b
     pair = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
     pair = pair[pair[:, 0] != pair[:, 1]]
     return pair[:, 0], pair[:, 1]
 
 
 def posting_links(postings: DataFrame, near: Near, rows: int = 200_000) -> DataFrame:
-    """postings (key, id, and longs that ``near`` compares) -> links (a, b): pairs of one list for which near(prints, prints) holds, less those that others imply."""
+    """postings (key, id, and longs that ``near`` compares) -> links (a, b): pairs of one list for which near(prints, prints) holds, less those that others imply.
 
-    width = len(postings.columns)
+    A task holds at most about ``rows`` postings. Lists longer than that (a hot key) are passed on unread and dealt into blocks of hashed
+    ids; each pair of blocks is a task of its own, so such lists are compared in full too. A posting may be repeated.
+    """
+    width, names = len(postings.columns), postings.columns
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), *((c, pa.int64()) for c in names)])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
+    def table(batch: pa.RecordBatch) -> np.ndarray:
+        return np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(width)], 1)
 
-        def table(batch: pa.RecordBatch) -> np.ndarray:
-            return np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(width)], 1)
+    def linked(part: np.ndarray) -> pa.RecordBatch:
+        a, b = links(part[:, 0], part[:, 1], part[:, 2:].view(np.uint64), near)
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), *(pa.nulls(len(a), pa.int64()) for _ in names)], schema=schema)
 
-        def out(part: np.ndarray) -> pa.RecordBatch:
-            a, b = links(part[:, 0], part[:, 1], part[:, 2:].view(np.uint64), near)
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+    def passed(part: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.nulls(len(part), pa.int64()), pa.nulls(len(part), pa.int64()), *(pa.array(np.ascontiguousarray(part[:, i])) for i in range(width))], schema=schema)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, hot = [], 0, None  # hot: the key of a list that is being passed on
         for batch in batches:
-            if not batch.num_rows:
+            part = table(batch)
+            if hot is not None and len(part):
+                cut = int(np.searchsorted(part[:, 0], hot, "right"))
+                if cut:
+                    yield passed(part[:cut])
+                    part = part[cut:]
+                if len(part):
+                    hot = None
+            if not len(part):
                 continue
-            held.append(table(batch))
-            if sum(map(len, held)) >= rows and held[-1][0, 0] != held[-1][-1, 0]:
-                part = np.concatenate(held)
-                cut = int(np.searchsorted(part[:, 0], part[-1, 0]))
-                held = [part[cut:]]
-                yield out(part[:cut])
+            held.append(part)
+            size += len(part)
+            if size < rows:
+                continue
+            part = np.concatenate(held)
+            cut = int(np.searchsorted(part[:, 0], part[-1, 0]))
+            if cut:
+                yield linked(part[:cut])
+            held, size = [part[cut:]], len(part) - cut
+            if size >= rows:
+                yield passed(part[cut:])
+                held, size, hot = [], 0, part[-1, 0]
         if held:
-            yield out(np.concatenate(held))
-
-    n = postings.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    rows_ = postings.repartition(int(n), "key").sortWithinPartitions("key")
-    return rows_.mapInArrow(run, "a long, b long").distinct()
+            yield linked(np.concatenate(held))
+
+    n = int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    columns = ", ".join(f"`{c}` long" for c in names)
+    found = stored(postings.repartition(n, "key").sortWithinPartitions("key").mapInArrow(run, f"a long, b long, {columns}"), "links")
+    short, hot = found.filter("a is not null").select("a", "b"), found.filter("a is null").drop("a", "b")
+    if not hot.limit(1).count():
+        return short.distinct()
+    blocks = hot.groupBy("key").agg(F.ceil(F.count("*") / F.lit(rows / 2)).alias("_n"))
+    block = F.pmod(F.xxhash64("id"), F.col("_n"))
+    cells = hot.join(blocks, "key").withColumn("_i", block).withColumn("_j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)))
+    cells = cells.withColumn("_cell", F.struct("key", F.least("_i", "_j").alias("i"), F.greatest("_i", "_j").alias("j")))
+
+    def cell(part: pa.Table) -> pa.Table:
+        x = np.stack([part.column(c).to_numpy() for c in names], 1)
+        x[:, 0] = 0
+        a, b = links(x[:, 0], x[:, 1], x[:, 2:].view(np.uint64), near)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return short.unionByName(cells.groupBy("_cell").applyInArrow(cell, "a long, b long")).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
