@@ -71,30 +71,42 @@ def text_slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int
         first = last
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _POW or len(_POW[0]) < n:
-        m = max(n, SLICE_BYTES)
+def _tables() -> tuple[np.ndarray, np.ndarray]:
+    """The hash's base and its inverse to the powers 0..SLICE_BYTES - 1; never longer, whatever the texts are."""
+    if not _POW:
         with np.errstate(over="ignore"):
-            ones = np.full(m, _B, np.uint64), np.full(m, _BINV, np.uint64)
+            ones = np.full(SLICE_BYTES, _B, np.uint64), np.full(SLICE_BYTES, _BINV, np.uint64)
             for a in ones:
                 a[0] = 1
             _POW[:] = [np.multiply.accumulate(a) for a in ones]
-    return _POW[0][:n], _POW[1][:n]
+    return _POW[0], _POW[1]
 
 
 def prefix_hash(data: np.ndarray) -> np.ndarray:
-    """Prefix sums of a polynomial hash; see span_hash."""
+    """Prefix sums of a polynomial hash of numbers; see span_hash."""
     out = np.empty(len(data) + 1, np.uint64)
     out[0] = 0
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers(len(data))[0], out=out[1:])
+    up = _tables()[0]
+    for s in range(0, len(data), SLICE_BYTES):
+        x = (data[s : s + SLICE_BYTES].astype(np.uint64) + np.uint64(1)) * up[: len(data) - s]
+        if s:
+            x *= np.uint64(pow(int(_B), s, 1 << 64))
+        np.cumsum(x, out=out[s + 1 : s + 1 + len(x)])
+        if s:
+            out[s + 1 : s + 1 + len(x)] += out[s]
     return out
 
 
 def span_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the spans [start, end) of the hashed bytes, by content alone."""
+    """64-bit hashes of the spans [start, end) of the hashed numbers, by content alone."""
     if not len(starts):
         return np.zeros(0, np.uint64)
-    return mix64((prefix[ends] - prefix[starts]) * _powers(len(prefix))[1][starts])
+    down = _tables()[1]
+    x = (prefix[ends] - prefix[starts]) * down[starts % SLICE_BYTES]
+    if len(prefix) > SLICE_BYTES:
+        high = np.array([pow(int(_BINV), s, 1 << 64) for s in range(0, len(prefix), SLICE_BYTES)], np.uint64)
+        x *= high[starts // SLICE_BYTES]
+    return mix64(x)
 
 
 _LOWER = np.zeros(256, np.uint8)

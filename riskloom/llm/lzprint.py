@@ -5,8 +5,10 @@ phrases is what a compressor would learn of the text, and documents that share m
 than bytes: after an edit the parse falls back into step at once, so near copies share over half their phrases and others few.) The set is
 hashed, and documents are compared by the least hashes of their sets under 128 permutations.
 
-Candidates come from an inverted index of bands of the signature; two bits of each least hash, kept beside each posting, estimate the
-similarity there and then. Groups are the connected components of the pairs that reach the threshold; see components.py.
+Candidates come from an inverted index of bands of five least hashes. A signature keeps four bits of each least hash (b-bit minwise hashing) and
+is posted with each band, so the signatures of a candidate pair are compared in full where the two meet. The estimate's standard error at
+the threshold is 0.046, against 0.043 of whole 32-bit hashes; 25 bands meet for 0.87 of pairs at the threshold itself and for 0.99
+at a similarity of 0.7. Groups are the connected components of the pairs that reach the threshold; see components.py.
 """
 
 from __future__ import annotations
@@ -15,14 +17,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _powers, mix64, prefix_hash, read, span_hash, stored, text_slices, words
+from .common import mix64, prefix_hash, read, span_hash, stored, text_slices, words
 from .components import components, popcount, posting_links
 
 HASHES = 128
 BANDS, ROWS = 25, 5
+#: Words of a signature of four bits a hash, and their columns.
+WORDS = HASHES * 4 // 64
+PRINT = [f"p{k}" for k in range(WORDS)]
 #: Estimated share of phrases in common (Jaccard) from which documents belong together.
 SIMILARITY = 0.6
 
@@ -60,15 +65,14 @@ def phrase_sets(data: np.ndarray, offs: np.ndarray) -> Iterator[np.ndarray]:
     raw = prefix_hash(data) if len(bare) else None
     bare = set(bare.tolist())
     with np.errstate(over="ignore"):
-        up, down = _powers(len(h) + 1)
-        sums = np.r_[np.uint64(0), np.cumsum((h + np.uint64(1)) * up[: len(h)])]
+        sums = prefix_hash(h)
         for i in range(n):
             if i in bare:
                 yield span_hash(raw, offs[i : i + 1], offs[i + 1 : i + 2])
                 continue
             cut = np.array(phrase_ends(h[at[i] : at[i + 1]].tolist()), np.int64) + at[i]
             begin = np.r_[at[i], cut[:-1]] if len(cut) else cut
-            yield mix64((sums[cut] - sums[begin]) * down[begin])
+            yield span_hash(sums, begin, cut)
 
 
 def _permutations(seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
@@ -90,15 +94,16 @@ def signature(phrases: np.ndarray) -> np.ndarray:
 
 
 def sketch(sig: np.ndarray) -> np.ndarray:
-    """(n, 4) uint64: two bits of each of the 128 least hashes."""
-    two = ((sig >> np.uint32(9)) & np.uint32(3)).astype(np.uint64).reshape(len(sig), 4, 32)
-    return (two << (2 * np.arange(32, dtype=np.uint64))).sum(2, dtype=np.uint64)
+    """(n, 8) uint64: the b-bit signature, four bits of each of the 128 least hashes."""
+    four = ((sig >> np.uint32(9)) & np.uint32(15)).astype(np.uint64).reshape(len(sig), WORDS, 16)
+    return (four << (4 * np.arange(16, dtype=np.uint64))).sum(2, dtype=np.uint64)
 
 
 def estimate(x: np.ndarray) -> np.ndarray:
-    """The Jaccard similarity estimated from the XOR of sketches; unlike phrases agree in two bits a quarter of the time."""
-    differ = popcount((x | (x >> np.uint64(1))) & np.uint64(0x5555555555555555))
-    return ((HASHES - differ) / HASHES - 0.25) / 0.75
+    """The Jaccard similarity estimated from the XOR of signatures; unlike phrases agree in four bits once in 16 times."""
+    y = x | (x >> np.uint64(1))
+    differ = popcount((y | (y >> np.uint64(2))) & np.uint64(0x1111111111111111))
+    return ((HASHES - differ) / HASHES - 1 / 16) * 16 / 15
 
 
 def near(similarity: float):
@@ -106,7 +111,9 @@ def near(similarity: float):
 
 
 def phrase_fingerprints(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text) -> (doc_id, n_phrases, p0..p3, bands): how many phrases, the sketch, and a key for each band; NULL sketch and bands for NULL or empty text."""
+    """docs (doc_id, text) -> (doc_id, n_phrases, id, p0..p7, k0..k24): how many phrases, a hash of the least hashes, their signature, and a key for each band; NULL but for the first two where text is NULL or empty."""
+    keys = [f"k{j}" for j in range(BANDS)]
+    names = ["id", *PRINT, *keys]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -116,34 +123,38 @@ def phrase_fingerprints(docs: DataFrame) -> DataFrame:
                     n[i] = len(p)
                     if len(p):
                         sigs[i] = signature(p)
-                p, key = sketch(sigs), np.zeros((last - first, BANDS), np.uint64)
-                for j in range(BANDS * ROWS):
-                    key[:, j // ROWS] = mix64(key[:, j // ROWS] + sigs[:, j] + np.uint64(j // ROWS + 1))
-                bands = pa.ListArray.from_arrays(pa.array(np.arange(0, key.size + 1, BANDS, dtype=np.int32)), pa.array(key.ravel().view(np.int64)))
-                ps = [pa.array(np.ascontiguousarray(p[:, k]).view(np.int64), mask=n == 0) for k in range(4)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array(n), *ps, bands], ["doc_id", "n_phrases", "p0", "p1", "p2", "p3", "bands"])
+                key, whole = np.zeros((last - first, BANDS), np.uint64), np.zeros(last - first, np.uint64)
+                for j in range(HASHES):
+                    whole = mix64(whole + sigs[:, j] + np.uint64(1))
+                    if j < BANDS * ROWS:
+                        key[:, j // ROWS] = mix64(key[:, j // ROWS] + sigs[:, j] + np.uint64(j // ROWS + 1))
+                columns = np.concatenate([whole[:, None], sketch(sigs), key], 1).view(np.int64)
+                ps = [pa.array(np.ascontiguousarray(columns[:, k]), mask=n == 0) for k in range(len(names))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array(n), *ps], ["doc_id", "n_phrases", *names])
 
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return narrow.mapInArrow(run, "doc_id long, n_phrases long, p0 long, p1 long, p2 long, p3 long, bands array<long>")
+    return narrow.mapInArrow(run, "doc_id long, n_phrases long, " + ", ".join(f"{c} long" for c in names))
 
 
 def phrase_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """docs (doc_id, text) -> (doc_id, n_phrases, sketch, group_id): the group of documents whose phrase sets are alike, named by its smallest doc_id.
 
-    A document like no other is a group of its own. NULL and empty texts have 0 phrases and NULL sketch and group. Rows of equal sketches
-    are together; repeated rows stay repeated; groups of NULL ids alone have a NULL group. An empty table gives no rows; extra columns are ignored.
+    A document like no other is a group of its own. NULL and empty texts have 0 phrases and NULL sketch and group. Rows of equal least
+    hashes are together; repeated rows stay repeated; groups of NULL ids alone have a NULL group. An empty table gives no rows; extra columns are ignored.
     """
     rows = stored(phrase_fingerprints(docs), "phrases")
-    p = ["p0", "p1", "p2", "p3"]
-    some = rows.filter("p0 is not null")
-    # Vertices are sketches. Rows of one sketch may differ in bands: each band of each is posted once.
-    postings = some.select(F.explode("bands").alias("key"), F.xxhash64(*p).alias("id"), *p).distinct()
+    some = rows.filter("id is not null")
+    # Vertices are whole signatures: copies are brought together, on each executor first, before any band is posted.
+    keys = [c for c in rows.columns if c[0] == "k"]
+    vertices = some.groupBy("id").agg(*[F.first(c).alias(c) for c in [*PRINT, *keys]])
+    postings = vertices.select(F.explode(F.array(*keys)).alias("key"), "id", *PRINT)
     roots = components(posting_links(postings, near(similarity)))
-    named = some.withColumn("id", F.xxhash64(*p)).join(roots, "id", "left").withColumn("g", F.coalesce("root", "id"))
-    text = F.concat(*[F.lpad(F.lower(F.hex(x)), 16, "0") for x in p]).alias("sketch")
-    named = named.withColumn("group_id", F.min("doc_id").over(Window.partitionBy("g"))).select("doc_id", "n_phrases", text, "group_id")
-    none = rows.filter("p0 is null").select("doc_id", "n_phrases", F.lit(None).cast("string").alias("sketch"), F.lit(None).cast("long").alias("group_id"))
-    return named.unionByName(none)
+    named = some.select("doc_id", "n_phrases", "id", *PRINT).join(roots, "id", "left").withColumn("g", F.coalesce("root", "id"))
+    least = named.groupBy("g").agg(F.min("doc_id").alias("group_id"))
+    text = F.concat(*[F.lpad(F.lower(F.hex(x)), 16, "0") for x in PRINT]).alias("sketch")
+    out = named.join(least, "g").select("doc_id", "n_phrases", text, "group_id")
+    none = rows.filter("id is null").select("doc_id", "n_phrases", F.lit(None).cast("string").alias("sketch"), F.lit(None).cast("long").alias("group_id"))
+    return out.unionByName(none)
 
 
 def op7_phrase_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
