@@ -108,22 +108,27 @@ def fit_rows(rows: list[np.ndarray], good: np.ndarray, cost: float = COST, epoch
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, seed: int = SEED) -> Model | None:
-    """The model of docs (doc_id, text) with labels (doc_id, quality); None if either class is missing. Rows with NULL id, text or quality aren't used."""
+    """The model of docs (doc_id, text) with labels (doc_id, quality); None if either class is missing. Rows with NULL id, text or quality aren't used.
+
+    At most max_labelled rows are fitted to: those of the smallest hashes of their ids, and of repeated ids those of the smallest hashes of their texts.
+    """
     known = labels.filter("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("_id")).agg((F.max("quality") > 0).alias("good"))
     some = docs.select(F.col("doc_id").cast("long").alias("_doc"), F.col("text").cast("string").alias("text")).filter("_doc is not null and text is not null")
     # The sample is chosen by id before any text moves.
     chosen = known.join(some.select(F.col("_doc").alias("_id")).distinct(), "_id", "left_semi").withColumn("o", F.xxhash64(F.lit(seed), "_id")).orderBy("o", "_id").limit(max_labelled)
     chosen = docs.sparkSession.createDataFrame(chosen.collect(), chosen.schema)
-    sample = some.join(F.broadcast(chosen), some["_doc"] == chosen["_id"])  # max_labelled bounds it
+    sample = some.join(F.broadcast(chosen), some["_doc"] == chosen["_id"])  # max_labelled bounds the ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, last, data, offs in text_slices(batch.column(0)):
                 part = batch.slice(first, last - first)
                 f = pa.array(list(features(data, offs)), pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), f], ["o", "good", "f"])
+                yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), part.column(3), f], ["o", "good", "h", "f"])
 
-    got = sample.select("text", "o", "good").mapInArrow(run, "o long, good boolean, f array<int>").toArrow().sort_by("o").combine_chunks()
+    # Ids may be repeated, with any texts: the limit bounds the rows too, and the order makes their choice the same on every cluster.
+    found = sample.select("text", "o", "good", F.xxhash64("text").alias("h")).mapInArrow(run, "o long, good boolean, h long, f array<int>")
+    got = found.orderBy("o", "h").limit(max_labelled).toArrow().combine_chunks()
     column = got.column("f").combine_chunks()
     if not len(got):
         return None

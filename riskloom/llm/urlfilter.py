@@ -28,6 +28,10 @@ RULES = [
 ]
 
 
+#: What the states and matches of the URLs that are simulated at a time may take.
+STATE_BYTES = 16 << 20
+
+
 class Automaton:
     """The packed rules; match() gives (urls, rules) booleans."""
 
@@ -60,6 +64,8 @@ class Automaton:
             w, b = one(at)
             self.start[w] |= b
         self.last = np.array(last, np.int64)
+        #: URLs that are simulated side by side: the more rules, the fewer, so that states and matches stay bounded.
+        self.most = max(64, STATE_BYTES // (8 * self.words + self.n + 1))
 
     def match(self, data: np.ndarray, offs: np.ndarray) -> np.ndarray:
         lens, n = np.diff(offs), len(offs) - 1
@@ -81,15 +87,17 @@ class Automaton:
 
 
 def canonical(url: Column) -> Column:
-    """Lower-case scheme and host, no fragment, no default port, no trailing dot of the host, '/' for an empty path, spaces trimmed."""
+    """Lower-case scheme and host (not the user before an @), no fragment, no default port, no trailing dot of the host, '/' for an empty path, spaces trimmed."""
     u = F.regexp_replace(F.trim(url), "#.*$", "")
     scheme = F.lower(F.regexp_extract(u, "^([A-Za-z][A-Za-z0-9+.-]*)://", 1))
-    host = F.lower(F.regexp_extract(u, "^[A-Za-z][A-Za-z0-9+.-]*://([^/?]*)", 1))
+    authority = F.regexp_extract(u, "^[A-Za-z][A-Za-z0-9+.-]*://([^/?]*)", 1)
+    user = F.regexp_extract(authority, "^(.*@)", 1)
+    host = F.lower(F.regexp_replace(authority, "^.*@", ""))
     rest = F.regexp_extract(u, "^[A-Za-z][A-Za-z0-9+.-]*://[^/?]*(.*)$", 1)
     host = F.when(scheme == "http", F.regexp_replace(host, ":80$", "")).when(scheme == "https", F.regexp_replace(host, ":443$", "")).otherwise(host)
     host = F.regexp_replace(host, "\\.$", "")
     rest = F.when(F.startswith(rest, F.lit("/")), rest).otherwise(F.concat(F.lit("/"), rest))
-    return F.when(scheme == "", u).otherwise(F.concat(scheme, F.lit("://"), host, rest))
+    return F.when(scheme == "", u).otherwise(F.concat(scheme, F.lit("://"), user, host, rest))
 
 
 def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES) -> DataFrame:
@@ -105,18 +113,20 @@ def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES) -> D
         machine, said = Automaton(texts), {}
         for batch in batches:
             for first, last, data, offs in text_slices(batch.column(1), 1 << 17):
-                part = batch.slice(first, last - first)
-                null = part.column(1).is_null().to_numpy(zero_copy_only=False)
-                hit = machine.match(data, offs)
-                hit[null] = False
-                packed = [r.tobytes() for r in np.packbits(hit, axis=1)] if texts else [b""] * (last - first)
-                for p, r in zip(packed, hit):
-                    if p not in said:
-                        if len(said) > 100_000:
-                            said.clear()
-                        said[p] = " ".join(texts[i] for i in np.flatnonzero(r))
-                blocked = hit[:, ~allow].any(1) & ~hit[:, allow].any(1)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(hit.sum(1), pa.int64()), pa.array([said[p] for p in packed], pa.string()), pa.array(blocked)], ["page_id", "url", "n_matched", "matched", "blocked"])
+                for i in range(0, last - first, machine.most):
+                    j = min(last - first, i + machine.most)
+                    part = batch.slice(first + i, j - i)
+                    null = part.column(1).is_null().to_numpy(zero_copy_only=False)
+                    hit = machine.match(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
+                    hit[null] = False
+                    packed = [r.tobytes() for r in np.packbits(hit, axis=1)] if texts else [b""] * (j - i)
+                    for p, r in zip(packed, hit):
+                        if p not in said:
+                            if len(said) > 100_000:
+                                said.clear()
+                            said[p] = " ".join(texts[x] for x in np.flatnonzero(r))
+                    blocked = hit[:, ~allow].any(1) & ~hit[:, allow].any(1)
+                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(hit.sum(1), pa.int64()), pa.array([said[p] for p in packed], pa.string()), pa.array(blocked)], ["page_id", "url", "n_matched", "matched", "blocked"])
 
     return pages.select(F.col("page_id").cast("long"), canonical(F.col("url").cast("string")).alias("url")).mapInArrow(run, "page_id long, url string, n_matched long, matched string, blocked boolean")
 
@@ -130,8 +140,8 @@ _RULES_SQL = ", ".join(f"({i}, '{r}', '{a}')" for i, (r, a) in enumerate(RULES))
 OP5_SQL = f"""
 WITH t AS (SELECT page_id, regexp_replace(trim(url), '#.*$', '') AS u FROM pages),
 p AS (SELECT page_id, u, lower(regexp_extract(u, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) AS s,
-        lower(regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?]*)', 1)) AS h, regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?]*(.*)$', 1) AS r FROM t),
-c AS (SELECT page_id, CASE WHEN s = '' THEN u ELSE s || '://' || regexp_replace(CASE WHEN s = 'http' THEN regexp_replace(h, ':80$', '') WHEN s = 'https' THEN regexp_replace(h, ':443$', '') ELSE h END, '\\.$', '')
+        regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?]*@)', 1) AS o, lower(regexp_replace(regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?]*)', 1), '^.*@', '')) AS h, regexp_extract(u, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?]*(.*)$', 1) AS r FROM t),
+c AS (SELECT page_id, CASE WHEN s = '' THEN u ELSE s || '://' || o || regexp_replace(CASE WHEN s = 'http' THEN regexp_replace(h, ':80$', '') WHEN s = 'https' THEN regexp_replace(h, ':443$', '') ELSE h END, '\\.$', '')
         || CASE WHEN starts_with(r, '/') THEN r ELSE '/' || r END END AS url FROM p),
 rules(i, rule, action) AS (VALUES {_RULES_SQL})
 SELECT c.page_id, c.url, count(i)::BIGINT AS n_matched, coalesce(string_agg(rule, ' ' ORDER BY i), '') AS matched,
