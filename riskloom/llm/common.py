@@ -23,6 +23,19 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def ranged(path: str, start: int, length: int) -> bytes:
+    """Bytes of a file by its Spark path, through Arrow's file systems."""
+    from pyarrow import fs
+
+    if path.startswith("file:"):
+        where, name = fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
+    else:
+        where, name = fs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1))
+    with where.open_input_file(name) as f:
+        f.seek(start)
+        return f.read(length)
+
+
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Column names that don't clash with those of ``df`` (compared without case)."""
     taken, out = {c.lower() for c in df.columns}, []

@@ -136,6 +136,30 @@ def phrase_fingerprints(docs: DataFrame) -> DataFrame:
     return narrow.mapInArrow(run, "doc_id long, n_phrases long, " + ", ".join(f"{c} long" for c in names))
 
 
+def met(postings: DataFrame) -> DataFrame:
+    """postings (key, id) without those that are alone in their list. Of a list no more than a batch is held."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None  # the last posting, whether it has met another, and was passed on
+        for batch in batches:
+            key, ids = (batch.column(k).to_numpy() for k in (0, 1))
+            if not len(key):
+                continue
+            same = np.zeros(len(key), bool)
+            same[1:] = key[1:] == key[:-1]
+            out = same.copy()
+            out[:-1] |= same[1:]
+            if last is not None and last[0] == key[0]:
+                out[0] = True
+                if not last[2]:
+                    yield pa.RecordBatch.from_arrays([pa.array([last[0]]), pa.array([last[1]])], ["key", "id"])
+            last = key[-1], ids[-1], bool(out[-1])
+            yield pa.RecordBatch.from_arrays([pa.array(key[out]), pa.array(ids[out])], ["key", "id"])
+
+    n = int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return postings.repartition(n, "key").sortWithinPartitions("key").mapInArrow(run, "key long, id long")
+
+
 def phrase_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """docs (doc_id, text) -> (doc_id, n_phrases, sketch, group_id): the group of documents whose phrase sets are alike, named by its smallest doc_id.
 
@@ -146,8 +170,9 @@ def phrase_groups(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     some = rows.filter("id is not null")
     # Vertices are whole signatures: copies are brought together, on each executor first, before any band is posted.
     keys = [c for c in rows.columns if c[0] == "k"]
-    vertices = some.groupBy("id").agg(*[F.first(c).alias(c) for c in [*PRINT, *keys]])
-    postings = vertices.select(F.explode(F.array(*keys)).alias("key"), "id", *PRINT)
+    vertices = stored(some.groupBy("id").agg(*[F.first(c).alias(c) for c in [*PRINT, *keys]]), "vertices")
+    # Most postings are alone in their list: signatures go only with those that aren't.
+    postings = met(vertices.select(F.explode(F.array(*keys)).alias("key"), "id")).join(vertices.select("id", *PRINT), "id").select("key", "id", *PRINT)
     roots = components(posting_links(postings, near(similarity)))
     named = some.select("doc_id", "n_phrases", "id", *PRINT).join(roots, "id", "left").withColumn("g", F.coalesce("root", "id"))
     least = named.groupBy("g").agg(F.min("doc_id").alias("group_id"))

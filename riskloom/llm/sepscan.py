@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import read, stored
+from .common import ranged, read, stored
 
 #: The end-of-document id, which the rank files of the two 50k byte-level vocabularies leave free.
 END = 50256
@@ -85,19 +85,6 @@ def flat_files(docs: DataFrame, ranks: str | None = None, end: int = END, block_
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "file string, block long, tokens binary, doc_ids array<long>")
 
 
-def _ranged(path: str, start: int, length: int) -> bytes:
-    """Bytes of a file by its Spark path, through Arrow's file systems."""
-    from pyarrow import fs
-
-    if path.startswith("file:"):
-        where, name = fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
-    else:
-        where, name = fs.FileSystem.from_uri(path.replace("s3a://", "s3://", 1))
-    with where.open_input_file(name) as f:
-        f.seek(start)
-        return f.read(length)
-
-
 def read_flat_files(spark: SparkSession, path: str, width: int = 2, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """Flat token files under a path or glob as (file, block, tokens). Only names and lengths are listed; each task reads its own byte ranges, so a file may be of any size."""
     step = block_tokens * width
@@ -107,7 +94,7 @@ def read_flat_files(spark: SparkSession, path: str, width: int = 2, block_tokens
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, length, block in zip(*(c.to_pylist() for c in batch.columns)):
-                raw = _ranged(name, block * step, min(step, length - block * step))
+                raw = ranged(name, block * step, min(step, length - block * step))
                 yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([block], pa.int64()), pa.array([raw], pa.binary())], ["file", "block", "tokens"])
 
     return ranges.repartition("path", "block").mapInArrow(run, "file string, block long, tokens binary")

@@ -4,7 +4,8 @@ Records are taken one after another: gzip members (one or more records each) or
 counts only if its header, its Content-Length, the closing blank lines, its block digest and its member's checksum hold; of a member with a
 fault, records away from the fault count too. Where a check fails,
 the reader searches onwards for the next gzip magic or version line at which a whole valid record stands, goes on from there, and
-logs the bytes in between as a quarantined gap. Records and gaps together cover each file without overlap.
+logs the bytes in between as a quarantined gap. Records and gaps together cover each file without overlap. Files are read in byte ranges, so an archive may be
+of any size; the result is that of one reader from the first byte to the last.
 """
 
 from __future__ import annotations
@@ -13,14 +14,15 @@ import base64
 import hashlib
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import ranged, read, stored
 
 #: Compressed bytes that are taken at once.
 STEP = 1 << 16
@@ -49,6 +51,10 @@ class _Bad(Exception):
     pass
 
 
+#: Faults that more bytes might mend.
+_SHORT = ("header without end", "content length doesn't fit", "truncated member")
+
+
 def digest(block: bytes) -> str:
     return "sha1:" + base64.b32encode(hashlib.sha1(block).digest()).decode()
 
@@ -137,33 +143,79 @@ def _take(data: memoryview, raw: bytes, at: int) -> tuple[list[Record], int, str
     return [Record(at, end, h, b) for h, b in found], end, why
 
 
-def salvage(raw: bytes) -> Iterator[Record | Gap]:
-    """All valid records of an archive and the gaps between them, in order.
+class _Window:
+    """Bytes of an archive from ``start`` on, of which more can be had: read(start, length)."""
 
-    Of a gzip member that holds a damaged record the valid ones are given, and a gap of no length behind it says why others aren't. Of one
-    whose stream breaks or whose checksum fails, those are given whose own digest holds, if the fault is seen to lie elsewhere: their length is 0, and the member's bytes are a gap.
-    """
-    data, pos, lost, why = memoryview(raw), 0, None, ""
-    while pos < len(raw):
+    def __init__(self, read: Callable[[int, int], bytes], size: int, start: int, stop: int, slack: int):
+        self.read, self.size, self.start, self.slack = read, size, start, slack
+        self.raw = read(start, min(size, stop + slack) - start)
+
+    def grow(self) -> bool:
+        """Twice the slack more; False if all is there."""
+        at = self.start + len(self.raw)
+        if at >= self.size:
+            return False
+        self.slack *= 2
+        self.raw += self.read(at, min(self.slack, self.size - at))
+        return True
+
+
+def _walk(w: _Window, stop: int) -> Iterator[Record | Gap]:
+    """The records of the units that begin before ``stop`` and the gaps between them. The last gap, if it reaches ``stop``, ends there."""
+    pos, lost, why = 0, None, ""
+    while w.start + pos < stop and pos < len(w.raw):
         try:
-            records, end, broken = _take(data, raw, pos)
+            records, end, broken = _take(memoryview(w.raw), w.raw, pos)
         except _Bad as e:
             records, end, broken = [], pos, str(e)
+        # What seems cut off may go on behind the window.
+        if broken in (_SHORT[2:] if w.raw[pos : pos + 3] == b"\x1f\x8b\x08" else _SHORT[:2]) and w.grow():
+            continue
         if records and lost is not None:
-            yield Gap(lost, pos, why)
+            yield Gap(w.start + lost, w.start + pos, why)
             lost = None
-        yield from records
+        for r in records:
+            r.start, r.end = w.start + r.start, w.start + r.end
+            yield r
         if end > pos:
             pos = end
             if broken:
-                yield Gap(end, end, broken)
+                yield Gap(w.start + end, w.start + end, broken)
             continue
         if lost is None:
             lost, why = pos, broken
-        found = _NEXT.search(raw, pos + 1)
-        pos = found.start() if found else len(raw)
+        found = _NEXT.search(w.raw, pos + 1)
+        pos = found.start() if found else len(w.raw)
     if lost is not None:
-        yield Gap(lost, len(raw), why)
+        yield Gap(w.start + lost, stop, why)
+
+
+def salvage(raw: bytes) -> Iterator[Record | Gap]:
+    """All valid records of an archive and the gaps between them, in order.
+
+    Of a gzip member that holds a damaged record the valid ones are given, and a gap of no length behind it says why others aren't. Of one
+    whose stream breaks or whose checksum fails, those are given whose own digest holds, if the fault is seen to lie elsewhere: their length is 0, and the member's bytes are a gap.
+    """
+    yield from _walk(_Window(lambda start, length: raw[start : start + length], len(raw), 0, len(raw), 0), len(raw))
+
+
+_ROWS = pa.schema([("path", pa.string()), ("start", pa.int64()), ("length", pa.int64()), ("kind", pa.string()), ("reason", pa.string()), ("record_type", pa.string()), ("record_id", pa.string()), ("uri", pa.string()), ("block", pa.binary())])
+
+
+def _batches(path: str, found: Iterator[Record | Gap]) -> Iterator[pa.RecordBatch]:
+    rows, size = [], 0
+    for x in found:
+        if isinstance(x, Gap):
+            rows.append((path, x.start, x.end - x.start, "gap", x.reason, None, None, None, None))
+        else:
+            h = x.headers
+            rows.append((path, x.start, x.end - x.start, "record", None, h.get("warc-type"), h.get("warc-record-id"), h.get("warc-target-uri"), x.block))
+            size += len(x.block)
+        if size > 1 << 24:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _ROWS.types)], schema=_ROWS)
+            rows, size = [], 0
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _ROWS.types)], schema=_ROWS)
 
 
 def salvage_archives(files: DataFrame) -> DataFrame:
@@ -173,29 +225,93 @@ def salvage_archives(files: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("path", pa.string()), ("start", pa.int64()), ("length", pa.int64()), ("kind", pa.string()), ("reason", pa.string()), ("record_type", pa.string()), ("record_id", pa.string()), ("uri", pa.string()), ("block", pa.binary())])
         for batch in batches:
             for path, content in zip(batch.column(0), batch.column(1)):
-                rows, size, path = [], 0, path.as_py()
-                for x in salvage(content.as_py() or b""):
-                    if isinstance(x, Gap):
-                        rows.append((path, x.start, x.end - x.start, "gap", x.reason, None, None, None, None))
-                    else:
-                        h = x.headers
-                        rows.append((path, x.start, x.end - x.start, "record", None, h.get("warc-type"), h.get("warc-record-id"), h.get("warc-target-uri"), x.block))
-                        size += len(x.block)
-                    if size > 1 << 24:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
-                        rows, size = [], 0
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
+                yield from _batches(path.as_py(), salvage(content.as_py() or b""))
 
     return files.select(F.col("path").cast("string"), F.col("content").cast("binary")).mapInArrow(run, SCHEMA)
 
 
-def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """The archives under a path or glob, one task for each group of whole files."""
-    return salvage_archives(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content"))
+#: Bytes of a file that a task reads, and what it reads beyond them at first, for the record that crosses the border.
+SPAN, SLACK = 64 << 20, 1 << 20
+
+
+def _stitched(x: pd.DataFrame, span: int) -> pd.DataFrame:
+    """Puts the ranges of one file together: where each begins to give rows (NULL for none), where its last gap ends, and which must be read again from where."""
+    x = x.sort_values("i").reset_index(drop=True)
+    give, again, until = [None] * len(x), [None] * len(x), [None] * len(x)
+    pos, opened = 0, None  # opened: the range whose gap is open
+    for k, r in enumerate(x.itertuples()):
+        a, b = r.i * span, min(r.length, (r.i + 1) * span)
+        if opened is None and pos >= b:
+            continue  # a record that began before covers all of it
+        want = a if opened is not None else pos
+        first = None if pd.isna(r.first) else int(r.first)
+        if r.start != want and not (r.start < want and (first is None or first >= want) and r.start == a):
+            again[k] = want
+            break
+        if first is not None:
+            if opened is not None:
+                until[opened] = first
+            give[k], opened, pos = first if opened is not None else want, None, int(r.tail)
+        elif opened is None:
+            give[k] = want
+            opened, pos = k, b
+        if not pd.isna(r.open):
+            opened = k
+    if opened is not None:
+        until[opened] = int(x["length"].iloc[0])
+    return x.assign(give=pd.array(give, "Int64"), again=pd.array(again, "Int64"), until=pd.array(until, "Int64"))
+
+
+def read_warc(spark: SparkSession, path: str, span: int = SPAN, slack: int = SLACK) -> DataFrame:
+    """The archives under a path or glob -> SCHEMA, as salvage() of each whole file, in tasks of byte ranges.
+
+    A first pass finds of each range its first valid record and where its last one ends; what lies between the ranges is put together file by file.
+    A range whose first record proves to lie inside one that began before (an archive within a record) is read again from that one's end. The second pass gives the rows.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")
+    ranges = files.filter("length > 0").select("path", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("length") / span) - 1)).alias("i"))
+    shape = "path string, length long, i long, start long, first long, tail long, open long"
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, length, i, start in zip(*(c.to_pylist() for c in batch.columns)):
+                stop, first, tail, gap = min(length, (i + 1) * span), None, None, None
+                w = _Window(lambda at, n, name=name: ranged(name, at, n), length, start, stop, slack)
+                for x in _walk(w, stop):
+                    if isinstance(x, Record):
+                        first = x.start if first is None else first
+                        tail, gap = max(x.end, tail or 0), None
+                    elif x.end > x.start:
+                        gap = x.start if x.end == stop else None
+                yield pa.RecordBatch.from_pydict({"path": [name], "length": [length], "i": [i], "start": [start], "first": pa.array([first], pa.int64()), "tail": pa.array([tail], pa.int64()), "open": pa.array([gap if first is not None else None], pa.int64())})
+
+    def seen(x: DataFrame) -> DataFrame:
+        return x.select("path", "length", "i", "start").repartition("path", "i").mapInArrow(look, shape)
+
+    plan = stored(seen(ranges.withColumn("start", F.col("i") * span)), "ranges")
+    while True:
+        made = stored(plan.groupBy("path").applyInPandas(lambda x: _stitched(x, span), shape + ", give long, again long, until long"), "ranges")
+        wrong = made.filter("again is not null")
+        if not wrong.limit(1).count():
+            break
+        plan = stored(made.filter("again is null").select(plan.columns).unionByName(seen(wrong.withColumn("start", F.col("again")))), "ranges")
+
+    def read_range(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, length, i, give, until in zip(*(c.to_pylist() for c in batch.columns)):
+                stop = min(length, (i + 1) * span)
+
+                def ended(found: Iterator[Record | Gap], stop=stop, until=until) -> Iterator[Record | Gap]:
+                    for x in found:
+                        if isinstance(x, Gap) and x.end == stop and x.start < stop and until is not None:
+                            x.end = until
+                        yield x
+
+                yield from _batches(name, ended(_walk(_Window(lambda at, n, name=name: ranged(name, at, n), length, give, stop, slack), stop)))
+
+    return made.filter("give is not null").select("path", "length", "i", "give", "until").repartition("path", "i").mapInArrow(read_range, SCHEMA)
 
 
 def member(page_id: int | None, url: str | None, html: str | None, gzip: bool = True) -> bytes:

@@ -78,3 +78,14 @@ def test_edges(spark):
     out = sorted(((r["doc_id"] or 0, r["n_phrases"], r["group_id"]) for r in Z.phrase_groups(df).collect()), key=str)
     assert (0, 3, 1) in out and out.count((1, 3, 1)) == 2 and (0, 0, None) in out and (2, 0, None) in out and (3, 1, 3) in out and (0, 6, None) in out and len(out) == 8
     assert Z.phrase_groups(df.limit(0)).count() == 0
+
+
+def test_postings_that_meet_no_other_go(spark):
+    r = random.Random(8)
+    rows = [(r.randrange(900), i) for i in range(800)] + [(2000, 5000 + i) for i in range(300)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = sorted(tuple(x) for x in Z.met(spark.createDataFrame(rows, "key long, id long")).collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == sorted(x for x in rows if sum(y[0] == x[0] for y in rows) > 1)

@@ -1,5 +1,9 @@
 import gzip
+import random
 import zlib
+from pathlib import Path
+
+import pytest
 
 from riskloom.llm import warc as W
 
@@ -114,3 +118,29 @@ def test_files_on_disk(spark, tmp_path):
     (tmp_path / "a.warc").write_bytes(b"".join(W.member(*p) for p in pages(3)) + b"tail")
     out = W.read_warc(spark, str(tmp_path)).collect()
     assert [r["kind"] for r in out] == ["record"] * 3 + ["gap"]
+
+
+@pytest.mark.parametrize("span", [700, 3000, 10**6])
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_ranges_give_what_whole_files_give(spark, tmp_path, span, seed):
+    r = random.Random(seed)
+    for f in range(4):
+        parts = []
+        for i in range(40):
+            html = "".join(r.choices("abcdef <p>", k=r.choice([5, 200, 2500])))
+            if f == 3 and i % 9 == 4:  # an archive within a record
+                html = b"".join(W.member(900 + j, "http://in", "x" * 300, gzip=False) for j in range(6)).decode()
+            x = W.member(i, f"http://x/{i}", html, gzip=f == 1 or (f == 2 and i % 2 == 0))
+            parts.append(W.damaged(x, r.randrange(4)) if r.random() < 0.2 else x)
+            if r.random() < 0.1:
+                parts.append(r.choice([b"garbage " * 200, b"WARC/1.0\r\nno end " * 9, b"\x1f\x8b\x08" * 300]))
+        (tmp_path / f"a{f}.warc").write_bytes(b"".join(parts))
+    (tmp_path / "empty.warc").write_bytes(b"")
+    (tmp_path / "junk.warc").write_bytes(b"z" * 5000)
+    got = sorted((Path(x["path"]).name, x["start"], x["length"], x["kind"], x["reason"], x["record_id"], bytes(x["block"] or b"")) for x in W.read_warc(spark, str(tmp_path), span, 64).collect())
+    want = []
+    for p in tmp_path.iterdir():
+        for x in W.salvage(p.read_bytes()):
+            want.append((p.name, x.start, x.end - x.start, "gap", x.reason, None, b"") if isinstance(x, W.Gap) else (p.name, x.start, x.end - x.start, "record", None, x.headers.get("warc-record-id"), x.block))
+    key = lambda t: tuple(map(str, t))
+    assert sorted(got, key=key) == sorted(want, key=key) and len(want) > 100
