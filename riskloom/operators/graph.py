@@ -49,14 +49,15 @@ def _in_one_task(edges: DataFrame, all_nodes: DataFrame, kernel, schema: str) ->
     return both.repartition(1).mapInPandas(run, schema.replace("ID", kind))
 
 
-def _small(edges: DataFrame, limit: int) -> bool:
-    return edges.limit(limit + 1).count() <= limit
+def _small(edges: DataFrame, limit: int, all_nodes: DataFrame | None = None) -> bool:
+    """Whether edges, and nodes where given, number at most ``limit``."""
+    return all(x.limit(limit + 1).count() <= limit for x in (edges, all_nodes) if x is not None)
 
 
 def pagerank(edges: DataFrame, all_nodes: DataFrame | None = None, damping: float = DAMPING, rounds: int = ROUNDS, close: float = CLOSE, kernel_edges: int = KERNEL_EDGES) -> DataFrame:
     """(id, pagerank) by pulling; what flows into nodes without callees is lost. Ends when no rank moves by ``close``."""
     everyone = all_nodes if all_nodes is not None else nodes(edges)
-    if _small(edges, kernel_edges):
+    if _small(edges, kernel_edges, everyone):
 
         def kernel(ids: np.ndarray, src: np.ndarray, dst: np.ndarray) -> pd.DataFrame:
             n = len(ids)
@@ -91,19 +92,21 @@ def dependency_depth(edges: DataFrame, all_nodes: DataFrame | None = None, entri
         entries = everyone.filter(is_entry_point(F.col("id").cast("string")))
         if not entries.limit(1).count():
             entries = everyone.join(edges.select(F.col("dst").alias("id")).distinct(), "id", "left_anti")
-    seen = stored(entries.select("id", F.lit(0).cast("long").alias("depth")), "depth")
-    if _small(edges, kernel_edges):
-        roots = {r[0] for r in seen.select("id").limit(kernel_edges).collect()}
+    seen = stored(everyone.join(entries.select("id").distinct(), "id", "left_semi").select("id", F.lit(0).cast("long").alias("depth")), "depth")
+    if _small(edges, kernel_edges, everyone):
+        # Entries come as edges from a node to itself, which no graph has.
+        flagged = edges.select("src", "dst").unionByName(seen.select(F.col("id").alias("src"), F.col("id").alias("dst")))
 
         def kernel(ids: np.ndarray, src: np.ndarray, dst: np.ndarray) -> pd.DataFrame:
-            depth, d = np.where(np.isin(ids, list(roots)), 0, -1), 0
+            depth, d = np.full(len(ids), -1), 0
+            depth[src[src == dst]] = 0
             while (depth == d).any():
                 to = dst[depth[src] == d]
                 depth[to[depth[to] < 0]] = d + 1
                 d += 1
             return pd.DataFrame({"id": ids, "depth": pd.Series(np.where(depth < 0, np.nan, depth)).astype("Int64")})
 
-        return _in_one_task(edges, everyone, kernel, "id ID, depth long")
+        return _in_one_task(flagged, everyone, kernel, "id ID, depth long")
     front, d = seen, 0
     while front.limit(1).count():
         d += 1
@@ -159,7 +162,7 @@ def strong_components(edges: DataFrame, all_nodes: DataFrame | None = None, kern
     and the rest repeat.
     """
     everyone = all_nodes if all_nodes is not None else nodes(edges)
-    if _small(edges, kernel_edges):
+    if _small(edges, kernel_edges, everyone):
 
         def kernel(ids: np.ndarray, src: np.ndarray, dst: np.ndarray) -> pd.DataFrame:
             comp = _tarjan(len(ids), src, dst)
@@ -190,17 +193,20 @@ def strong_components(edges: DataFrame, all_nodes: DataFrame | None = None, kern
     return done.join(size, "label").select("id", F.col("label").alias("scc_id"), "scc_size")
 
 
-def betweenness(edges: DataFrame, exact_up_to: int = 2000, pivots: int = 256, most_edges: int = 20_000_000) -> DataFrame:
-    """(id, betweenness), directed, over (n - 1)(n - 2). From all sources up to exact_up_to nodes, else from ``pivots`` evenly placed ones, scaled.
+def betweenness(edges: DataFrame, exact_up_to: int = 2000, pivots: int = 256, most_edges: int = 20_000_000, all_nodes: DataFrame | None = None) -> DataFrame:
+    """(id, betweenness), directed, over (n - 1)(n - 2), where n counts all_nodes (id), those without edges too; these have 0.
+
+    From all sources up to exact_up_to nodes, else from ``pivots`` evenly placed ones, scaled.
 
     Sources are spread over tasks; each task needs the whole adjacency, which is broadcast as two integer arrays behind a check of its size.
     """
     spark = edges.sparkSession
-    if not _small(edges, most_edges):
-        raise ValueError(f"more than {most_edges} edges: betweenness needs the graph in each task's memory")
+    if not _small(edges, most_edges, all_nodes):
+        raise ValueError(f"more than {most_edges} edges or nodes: betweenness needs the graph in each task's memory")
     table = edges.select("src", "dst").toPandas()
     kind = edges.schema["src"].dataType.simpleString()
-    ids = np.unique(np.concatenate([table["src"].to_numpy(), table["dst"].to_numpy()]))
+    more = [all_nodes.select("id").toPandas()["id"].to_numpy()] if all_nodes is not None else []
+    ids = np.unique(np.concatenate([table["src"].to_numpy(), table["dst"].to_numpy(), *more]))
     n = len(ids)
     src, dst = np.searchsorted(ids, table["src"].to_numpy()), np.searchsorted(ids, table["dst"].to_numpy())
     order = np.lexsort((dst, src))
@@ -246,10 +252,10 @@ def reachable(parents: DataFrame, tips: DataFrame) -> DataFrame:
     return seen
 
 
-def graph_metrics(edges: DataFrame, all_nodes: DataFrame | None = None, skip_above: int | None = None) -> DataFrame | None:
+def graph_metrics(edges: DataFrame, all_nodes: DataFrame | None = None, skip_above: int | None = None, exact_up_to: int = 2000, pivots: int = 256) -> DataFrame | None:
     """(id, fan_in, fan_out, pagerank, betweenness, scc_id, scc_size, depth); None above ``skip_above`` nodes."""
     everyone = all_nodes if all_nodes is not None else nodes(edges)
     if skip_above is not None and everyone.limit(skip_above + 1).count() > skip_above:
         return None
-    out = degrees(edges, everyone).join(pagerank(edges, everyone), "id").join(betweenness(edges), "id", "left")
+    out = degrees(edges, everyone).join(pagerank(edges, everyone), "id").join(betweenness(edges, exact_up_to, pivots, all_nodes=everyone), "id")
     return out.join(strong_components(edges, everyone), "id").join(dependency_depth(edges, everyone), "id")

@@ -54,17 +54,26 @@ def resolve_callees(calls: DataFrame, functions: DataFrame, imports: DataFrame |
     A name goes to a function of the same file, else of an imported file (src_file, dst_file), else to the first in order. With
     skip_self_candidate that last resort passes over the caller; without, a caller that comes first gives no edge. Edges are distinct, none to self.
     """
-    c = calls.join(functions.select(F.col("function_id").alias("dst"), F.col("file").alias("dst_file"), "name", "ord"), "name")
+    # Each lookup is reduced to one row a key before the calls meet it, so a common name costs no more than a rare one.
+    calls = calls.select("caller", "caller_file", "name").distinct()
+    place = F.struct("ord", F.col("function_id").alias("dst"))
+    defs = functions.groupBy("file", "name").agg(F.min(place).alias("d"))
+    own = defs.select(F.col("file").alias("caller_file"), "name", F.col("d.dst").alias("own"))
+    c = calls.join(own, ["caller_file", "name"], "left")
     if imports is not None:
-        known = imports.select(F.col("src_file").alias("caller_file"), F.col("dst_file"), F.lit(True).alias("imported")).distinct()
-        c = c.join(known, ["caller_file", "dst_file"], "left")
+        known = imports.select(F.col("src_file").alias("caller_file"), F.col("dst_file").alias("file")).distinct()
+        # Only the (file, name) pairs that are called go through the imports.
+        asked = calls.join(own, ["caller_file", "name"], "left_anti").select("caller_file", "name").distinct()
+        near = asked.join(known, "caller_file").join(defs, ["file", "name"]).groupBy("caller_file", "name").agg(F.min("d").alias("d"))
+        c = c.join(near.select("caller_file", "name", F.col("d.dst").alias("imported")), ["caller_file", "name"], "left")
     else:
-        c = c.withColumn("imported", F.lit(None).cast("boolean"))
-    level = F.when(F.col("dst_file") == F.col("caller_file"), 0).when(F.col("imported"), 1).otherwise(2)
-    c = c.withColumn("level", level)
-    if skip_self_candidate:
-        c = c.filter((F.col("level") < 2) | (F.col("dst") != F.col("caller")))
-    best = priority_pick(c, ["caller", "name"], [F.col("level"), F.col("ord"), F.col("dst")])
+        c = c.withColumn("imported", F.lit(None).cast(functions.schema["function_id"].dataType))
+    # The first two of a name: the second is for a caller that is the first itself.
+    first = functions.groupBy("name").agg(F.min(place).alias("d"))
+    rest = functions.join(first, "name").filter(F.col("function_id") != F.col("d.dst")).groupBy("name").agg(F.min(place).alias("e"))
+    c = c.join(first.join(rest, "name", "left").select("name", F.col("d.dst").alias("first"), F.col("e.dst").alias("second")), "name", "left")
+    last = F.when(F.col("first") == F.col("caller"), F.col("second")).otherwise(F.col("first")) if skip_self_candidate else F.col("first")
+    best = c.select("caller", F.coalesce("own", "imported", last).alias("dst"))
     return best.filter("dst <> caller").select(F.col("caller").alias("src"), "dst").distinct()
 
 

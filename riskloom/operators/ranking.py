@@ -9,10 +9,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import stored
 from .quantiles import average_ranks
 
-FEATURES = ["lrs", "cc", "nd", "fo", "ns", "loc", "fan_in", "total_churn", "authors_90d", "directed_coupling"]
-COLD_FEATURES = ["lrs", "cc", "nd", "loc", "commit_count", "author_count", "author_entropy", "burst_score"]
+FEATURES = ["lrs", "cc", "nd", "loc", "fo", "fan_in", "total_churn", "authors_90d", "directed_coupling", "convention_bug_fix_count"]
+COLD_FEATURES = ["commit_count", "author_count", "author_entropy", "burst_score", "isolation_rate", "age_days", "last_touch_days", "authors_90d"]
 CUTOFFS = (10, 20, 50, 100, 200)
 
 
@@ -176,6 +177,19 @@ def fit_ridge(df: DataFrame, features: Sequence[str], label: str, alpha: float =
     return LinearRegression(featuresCol="_x", labelCol="_y", regParam=alpha, elasticNetParam=0.0, standardization=True, predictionCol="_c").fit(_assembled(df, features, label))
 
 
+def save(model, path: str) -> None:
+    """Writes a fitted ranker to a folder."""
+    model.write().overwrite().save(path)
+
+
+def load(path: str, kind: str):
+    """A ranker that save() wrote; kind is 'ridge' or 'forest', as train() named it."""
+    from pyspark.ml.classification import RandomForestClassificationModel
+    from pyspark.ml.regression import LinearRegressionModel
+
+    return (LinearRegressionModel if kind == "ridge" else RandomForestClassificationModel).load(path)
+
+
 def ranked(df: DataFrame, model, features: Sequence[str], name: str = "score") -> DataFrame:
     """df with the model's score in 0..1."""
     out = model.transform(_assembled(df, features))
@@ -188,6 +202,17 @@ def ranked(df: DataFrame, model, features: Sequence[str], name: str = "score") -
     return out.withColumn(name, value).select(*df.columns, name)
 
 
+def _with_folds(df: DataFrame, key: str, n: int, folds: int) -> DataFrame:
+    """df with _fold: contiguous runs by key of n // folds rows, the last with what is left.
+
+    A range partitioning orders the partitions, each is numbered by itself, and their counts, one row a partition, place them.
+    """
+    x = stored(df.repartitionByRange(F.col(key)).sortWithinPartitions(key).withColumn("_p", F.spark_partition_id()), "folds")
+    before = x.groupBy("_p").agg(F.count("*").alias("_c")).withColumn("_b", F.coalesce(F.sum("_c").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_c")
+    at = F.col("_b") + F.row_number().over(Window.partitionBy("_p").orderBy(key)) - 1
+    return x.join(F.broadcast(before), "_p").withColumn("_fold", F.least(F.floor(at / (n // folds or 1)), F.lit(folds - 1))).drop("_p", "_b")
+
+
 def regime(df: DataFrame, features: Sequence[str], label: str, key: str, folds: int = 3) -> DataFrame:
     """One row (verdict, delta_rho): by how much a shallow forest ranks better than ridge on contiguous folds by key. Under 5 % positives: unreliable."""
     spark = df.sparkSession
@@ -195,7 +220,7 @@ def regime(df: DataFrame, features: Sequence[str], label: str, key: str, folds:
     made = lambda v, d: spark.createDataFrame([(v, float(d))], "verdict string, delta_rho double")
     if not n or pos < 0.05:
         return made("unreliable", 0.0)
-    x = df.withColumn("_fold", F.least(F.floor((F.row_number().over(Window.orderBy(key)) - 1) / (n // folds or 1)), F.lit(folds - 1))).persist()
+    x = _with_folds(df, key, n, folds).persist()
     gain = []
     for f in range(folds):
         train, test = x.filter(F.col("_fold") != f), x.filter(F.col("_fold") == f)

@@ -434,10 +434,18 @@ def q_cochange_static(spark, d):
     return C.with_static_deps(C.co_change(V.commit_files(spark, d), 25), _deps(spark, d))
 
 
-@query(with_views("SELECT * FROM (" + _STATIC + ") WHERE NOT has_static_dep AND risk IN ('high', 'moderate')", "v_commit_file", also={"pairs": _pairs_sql("sha % 97 = 1", 2), "deps": _DEPS}))
+# Files are return flags, alone and with line statuses, here: few, so they change together often. A flag imports its own with statuses.
+_FLAG_PAIRS = """WITH x AS (SELECT DISTINCT l_orderkey AS sha, unnest([l_returnflag, l_returnflag || l_linestatus]) AS file FROM lineitem), n AS (SELECT file, count(*) AS n FROM x GROUP BY 1),
+  p AS (SELECT a.file AS file_a, b.file AS file_b, count(*) AS c FROM x a JOIN x b ON a.sha = b.sha AND a.file < b.file GROUP BY 1, 2 HAVING count(*) >= 3),
+  r AS (SELECT file_a, file_b, c, c / least(na.n, nb.n)::DOUBLE AS r FROM p JOIN n na ON na.file = file_a JOIN n nb ON nb.file = file_b)
+  SELECT file_a, file_b, c AS co_change_count, floor(r * 1000 + 0.5) / 1000 AS coupling_ratio, CASE WHEN r > 0.5 THEN 'high' ELSE 'moderate' END AS risk, FALSE AS has_static_dep FROM r WHERE r > 0.25 AND NOT starts_with(file_b, file_a)"""
+
+
+@query(_FLAG_PAIRS)
 def q_hidden_coupling(spark, d):
-    cf = V.commit_files(spark, d).filter("sha % 97 = 1")
-    return C.hidden_coupling(C.with_static_deps(C.co_change(cf, 2), _deps(spark, d)), source="")
+    x = V.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("sha"), "l_returnflag", F.concat("l_returnflag", "l_linestatus").alias("both")).distinct()
+    cf = x.select("sha", F.explode(F.array("l_returnflag", "both")).alias("file")).distinct()
+    return C.hidden_coupling(C.with_static_deps(C.co_change(cf), x.select(F.col("l_returnflag").alias("src_file"), F.col("both").alias("dst_file"))), source="")
 
 
 _RANK = "CASE {0} WHEN 'critical' THEN 4 WHEN 'high' THEN 3 WHEN 'moderate' THEN 2 WHEN 'low' THEN 1 ELSE 0 END"
@@ -667,9 +675,9 @@ def q_refactor(spark, d):
 _L2 = """SELECT k FROM walk UNION SELECT max(k) FROM st"""
 
 
-@query("WITH RECURSIVE " + with_views("", "v_snap", also={"b": "SELECT function_id, k, CASE WHEN lrs < 3 THEN 'low' WHEN lrs < 6 THEN 'moderate' ELSE 'high' END AS band FROM v_snap WHERE function_id < 3", "st": "SELECT k, (row_number() OVER (ORDER BY k))::BIGINT AS i, string_agg(function_id::VARCHAR || band, ',' ORDER BY function_id) AS s FROM b GROUP BY k", "walk(k, i, s)": "SELECT k, i, s FROM st WHERE i = 1 UNION ALL SELECT n.k, n.i, n.s FROM walk w JOIN st n ON n.i = (SELECT min(x.i) FROM st x WHERE x.i > w.i AND x.s <> w.s)"}).removeprefix("WITH ") + " SELECT DISTINCT k FROM (SELECT k FROM walk UNION ALL SELECT max(k) FROM st)")
+@query("WITH RECURSIVE " + with_views("", "v_snap", also={"b": "SELECT function_id, k, CASE WHEN lrs < 3 THEN 'low' WHEN lrs < 6 THEN 'moderate' ELSE 'high' END AS band FROM v_snap", "st": "SELECT k, (row_number() OVER (ORDER BY k))::BIGINT AS i, string_agg(function_id::VARCHAR || band, ',' ORDER BY function_id) AS s FROM b GROUP BY k", "walk(k, i, s)": "SELECT k, i, s FROM st WHERE i = 1 UNION ALL SELECT n.k, n.i, n.s FROM walk w JOIN st n ON n.i = (SELECT min(x.i) FROM st x WHERE x.i > w.i AND x.s <> w.s)"}).removeprefix("WITH ") + " SELECT DISTINCT k FROM (SELECT k FROM walk UNION ALL SELECT max(k) FROM st)")
 def q_compact_l2(spark, d):
-    s = V.snapshots(spark, d).filter("function_id < 3")
+    s = V.snapshots(spark, d)
     return T.compact_level2(s.withColumn("band", F.when(F.col("lrs") < 3, "low").when(F.col("lrs") < 6, "moderate").otherwise("high")))
 
 
@@ -767,14 +775,14 @@ def q_screener(spark, d):
     return R.screen(V.table(spark, d, "supplier"), F.col("s_acctbal") / 100000).select(*r6("mean_score"), "verdict")
 
 
-_COLD = """WITH c AS (SELECT l_suppkey, count(*)::DOUBLE AS v FROM lineitem WHERE l_suppkey % 10 <> 3 OR l_quantity > 40 GROUP BY 1), o AS (SELECT v, row_number() OVER (ORDER BY v) AS i, row_number() OVER (ORDER BY v DESC) AS j, count(*) OVER () AS n FROM c),
+_COLD = """WITH c AS (SELECT l_suppkey, count(*)::DOUBLE AS v FROM lineitem GROUP BY 1), o AS (SELECT v, row_number() OVER (ORDER BY v) AS i, row_number() OVER (ORDER BY v DESC) AS j, count(*) OVER () AS n FROM c),
  s AS (SELECT sum(v) FILTER (WHERE j <= greatest(ceil(n * 0.1), 1)) / sum(v) AS t, sum((2 * i - n - 1) * v) / (max(n) * sum(v)) AS g FROM o)
  SELECT CASE WHEN t < 0.05 THEN 'uniform_prior' WHEN g < 0.55 THEN 'anomaly' ELSE 'formula' END AS route, round(t, 6) AS top_share, round(g, 6) AS gini, 0.0::DOUBLE AS positive_rate FROM s"""
 
 
 @query(_COLD)
 def q_cold_start_route(spark, d):
-    c = V.table(spark, d, "lineitem").filter("l_suppkey % 10 <> 3 or l_quantity > 40").groupBy("l_suppkey").agg(F.count("*").alias("commit_count"))
+    c = V.table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.count("*").alias("commit_count"))
     return R.cold_start_route(c, uniform=0.05).select("route", *r6("top_share", "gini"), "positive_rate")
 
 
@@ -785,7 +793,7 @@ def q_binary_entropy(spark, d):
 
 def _features(spark, d):
     e = V.enriched(spark, d)
-    return e.withColumns({"total_churn": F.col("churn_lines"), "authors_90d": F.col("touch"), "directed_coupling": F.col("lines_deleted"), "commit_count": F.col("touch"), "author_count": F.col("touch") % 5, "author_entropy": F.col("nd") / 3.0, "burst_score": F.col("ns") + 1.0, "label": (F.col("cc") + F.col("nd") >= 11).cast("double")})
+    return e.withColumns({"total_churn": F.col("churn_lines"), "authors_90d": F.col("touch"), "directed_coupling": F.col("lines_deleted"), "commit_count": F.col("touch"), "author_count": F.col("touch") % 5, "author_entropy": F.col("nd") / 3.0, "burst_score": F.col("ns") + 1.0, "isolation_rate": F.col("fo") / 10.0, "age_days": F.col("loc") * 3.0, "last_touch_days": F.col("days_since_last_change"), "convention_bug_fix_count": F.col("touch") % 3, "label": (F.col("cc") + F.col("nd") >= 11).cast("double")})
 
 
 @query()
@@ -813,18 +821,21 @@ def q_regime_screen(spark, d):
 # Models ----------------------------------------------------------------------------------------------------------------------------
 
 _MF = {
-    "ms": "SELECT s_suppkey, 'M' || s_suppkey::VARCHAR AS model, 'f' || (s_suppkey % 40)::VARCHAR AS model_file FROM supplier WHERE s_suppkey <= 60",
-    "fs": "SELECT function_id, 'f' || (line % 80)::VARCHAR AS file, CASE WHEN line % 5 = 0 THEN 'M' || (line % 60)::VARCHAR || '::go' WHEN line % 5 = 1 THEN 'loadm' || (line % 40)::VARCHAR || 'm' || (line % 40 + 40)::VARCHAR || '_x' ELSE 'other' || line::VARCHAR END AS name, line, lrs AS score, band FROM v_scored",
+    "ms": "SELECT s_suppkey, 'M' || s_suppkey::VARCHAR AS model, CASE WHEN s_suppkey % 30 = 29 THEN 'g' || s_suppkey::VARCHAR ELSE 'f' || (s_suppkey // 3)::VARCHAR END AS model_file FROM supplier",
+    "fs": "SELECT function_id, CASE WHEN o % 30 = 29 THEN 'g' || o::VARCHAR ELSE 'f' || (o // 3)::VARCHAR END AS file, CASE WHEN line % 5 < 3 AND o % 3 = 0 THEN 'M' || o::VARCHAR || '::go' WHEN line % 5 < 3 AND o % 3 = 1 THEN 'loadm' || o::VARCHAR || 'm' || (o + 1)::VARCHAR || '_x' ELSE 'other' || line::VARCHAR END AS name, line, lrs AS score, band FROM (SELECT *, line // 20 AS o FROM v_scored)",
     "ru": "SELECT *, CASE WHEN starts_with(name, model || '::') THEN 1 WHEN contains(lower(name), lower(model)) THEN 2 WHEN n <= 1 THEN 3 END AS rule FROM (SELECT *, count(*) OVER (PARTITION BY model_file) AS n FROM ms) JOIN fs ON model_file = file",
     "assoc": "SELECT * FROM (SELECT *, min(rule) OVER (PARTITION BY model) AS best FROM ru WHERE rule IS NOT NULL) WHERE rule = best",
 }
 
 
 def _assoc(spark, d):
-    c = F.col
-    ms = V.table(spark, d, "supplier").filter("s_suppkey <= 60").select(F.concat(F.lit("M"), c("s_suppkey").cast("string")).alias("model"), F.concat(F.lit("f"), (c("s_suppkey") % 40).cast("string")).alias("file"), c("s_suppkey").alias("line"))
-    name = F.when(c("line") % 5 == 0, F.concat(F.lit("M"), (c("line") % 60).cast("string"), F.lit("::go"))).when(c("line") % 5 == 1, F.concat(F.lit("loadm"), (c("line") % 40).cast("string"), F.lit("m"), (c("line") % 40 + 40).cast("string"), F.lit("_x"))).otherwise(F.concat(F.lit("other"), c("line").cast("string")))
-    fs = S.scored(V.fn(spark, d)).select("function_id", F.concat(F.lit("f"), (c("line") % 80).cast("string")).alias("file"), name.alias("name"), "line", c("lrs").alias("score"), "band")
+    """Every supplier is a model, three to a file and some alone in theirs; its functions are twenty parts."""
+    c, text = F.col, lambda prefix, n: F.concat(F.lit(prefix), n.cast("string"))
+    file = lambda o: F.when(o % 30 == 29, text("g", o)).otherwise(text("f", F.floor(o / 3)))
+    ms = V.table(spark, d, "supplier").select(text("M", c("s_suppkey")).alias("model"), file(c("s_suppkey")).alias("file"), c("s_suppkey").alias("line"))
+    o = F.floor(c("line") / 20)
+    name = F.when((c("line") % 5 < 3) & (o % 3 == 0), F.concat(text("M", o), F.lit("::go"))).when((c("line") % 5 < 3) & (o % 3 == 1), F.concat(text("loadm", o), text("m", o + 1), F.lit("_x"))).otherwise(text("other", c("line")))
+    fs = S.scored(V.fn(spark, d)).select("function_id", file(o).alias("file"), name.alias("name"), "line", c("lrs").alias("score"), "band")
     return M.associations(ms, fs)
 
 

@@ -50,7 +50,7 @@ def enrich(reports: DataFrame, edges: DataFrame, commit_files: DataFrame | None,
     """
     f = reports
     ids = f.select(F.col("function_id").alias("id")).distinct()
-    g = G.graph_metrics(edges, ids, config.callgraph_skip_above)
+    g = G.graph_metrics(edges, ids, config.callgraph_skip_above, config.betweenness_exact_threshold, config.betweenness_approx_k)
     if g is not None:
         g = stored(g, "graph")
         f = f.join(g.withColumnsRenamed({"id": "function_id", "depth": "dependency_depth"}), "function_id", "left")
@@ -61,12 +61,16 @@ def enrich(reports: DataFrame, edges: DataFrame, commit_files: DataFrame | None,
         churn = H.commit_churn(commit_files, newest).select("file", "lines_added", "lines_deleted", (F.col("lines_added") + F.col("lines_deleted")).alias("file_churn"))
         f = f.join(churn, "file", "left").join(H.touch_metrics(commit_files, as_of), "file", "left").join(H.history_signals(commit_files, as_of), "file", "left")
         f = f.join(H.authors_in_window(commit_files, as_of), "file", "left").withColumn("touch_count_30d", F.coalesce("touch_count_30d", F.lit(0)))
+        fixes = commit_files if "is_fix" in commit_files.columns else commit_files.withColumn("is_fix", S.is_fix(F.col("subject")))
+        worst = reports.groupBy("file").agg(F.max("lrs").alias("score"))
+        f = f.join(H.fix_counts(fixes), "file", "left").join(C.directed_coupling(commit_files, worst), "file", "left")
         by_id = f.select(F.col("function_id").alias("id"), F.col("file_churn").alias("churn_lines")).filter("churn_lines is not null")
         f = f.join(J.neighbor_churn(edges, by_id).withColumnRenamed("id", "function_id"), "function_id", "left")
     else:
-        f = f.withColumns({c: F.lit(None).cast("long") for c in ("lines_added", "lines_deleted", "file_churn", "touch_count_30d", "days_since_last_change", "neighbor_churn")})
+        f = f.withColumns({c: F.lit(None).cast("long") for c in ("lines_added", "lines_deleted", "file_churn", "touch_count_30d", "days_since_last_change", "neighbor_churn", "commit_count", "author_count", "authors_90d", "convention_bug_fix_count")})
+        f = f.withColumns({c: F.lit(None).cast("double") for c in ("author_entropy", "isolation_rate", "age_days", "last_touch_days", "burst_score", "directed_coupling")})
     # Churn is known by file, so patterns of a function's own churn don't see it.
-    f = f.withColumns({"churn_lines": F.lit(None).cast("long"), "is_entrypoint": S.is_entry_point(F.col("function_id")), "touch": F.coalesce("touch_count_30d", F.lit(0))})
+    f = f.withColumns({"total_churn": F.coalesce("file_churn", F.lit(0)), "churn_lines": F.lit(None).cast("long"), "is_entrypoint": S.is_entry_point(F.col("function_id")), "touch": F.coalesce("touch_count_30d", F.lit(0))})
     f = S.with_activity_risk(f, config.scoring).withColumn("patterns", S.pattern_ids(S.pattern_details(config.patterns)))
     f = f.withColumn("score", S.rank_score()).fillna(0, ["fan_in", "fan_out"])
     f = Q.percentile_flags(stored(f, "scored"), "score")  # the measures below each read all rows: they start from a table
@@ -109,9 +113,19 @@ class Engine:
         w = self.store.window(last).persist()
         return T.velocities(w), T.stability(w, top), T.refactorings(w)
 
-    def train(self, functions: DataFrame, label: str, features: list[str] | None = None):
+    def labelled(self, functions: DataFrame, fixed: DataFrame) -> DataFrame:
+        """functions with label: 1 for those of the files (file) that fixes touched, else 0."""
+        hit = fixed.select("file", F.lit(1.0).alias("label")).distinct()
+        return functions.join(hit, "file", "left").fillna(0.0, ["label"])
+
+    def train(self, functions: DataFrame, label: str = "label", features: list[str] | None = None):
+        """(model, kind) fitted to enriched functions."""
         return R.train(functions, features or R.FEATURES, label, "function_id")
 
+    def rank(self, functions: DataFrame, model, features: list[str] | None = None) -> DataFrame:
+        """functions with rank_score, the model's score in 0..1."""
+        return R.ranked(functions, model, features or R.FEATURES, "rank_score")
+
     def coupling(self, commit_files: DataFrame, imports: DataFrame, as_of: int) -> DataFrame:
         return C.with_static_deps(C.co_change(commit_files, self.config.co_change_min_count, as_of, self.config.co_change_window_days), imports)
 

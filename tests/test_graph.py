@@ -98,3 +98,18 @@ def test_degrees_and_reachability(spark):
     assert sorted(tuple(r) for r in G.degrees(e, spark.createDataFrame([(1,), (9,)], "id long")).collect()) == [(1, 0, 2), (2, 2, 0), (3, 1, 1), (9, 0, 0)]
     p = spark.createDataFrame([(5, 4), (4, 3), (3, None), (9, 3)], "sha long, parent long")
     assert sorted(r[0] for r in G.reachable(p, spark.createDataFrame([(5,)], "sha long")).collect()) == [3, 4, 5]
+
+
+def test_betweenness_counts_functions_without_edges(spark):
+    e = edges(spark, [(0, 1), (1, 2)])
+    everyone = spark.range(23).select("id")
+    got = {r["id"]: r["betweenness"] for r in G.betweenness(e, all_nodes=everyone).collect()}
+    assert len(got) == 23 and got[1] == pytest.approx(1 / (22 * 21)) and got[20] == 0
+
+
+def test_depth_keeps_entries_beyond_the_kernel(spark):
+    e = edges(spark, [(0, 1), (1, 2)])
+    everyone = spark.range(23).select("id")
+    want = {r["id"]: r["depth"] for r in G.dependency_depth(e, everyone).collect()}
+    assert {r["id"]: r["depth"] for r in G.dependency_depth(e, everyone, kernel_edges=5).collect()} == want
+    assert want[2] == 2 and all(want[i] == 0 for i in range(3, 23))

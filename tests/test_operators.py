@@ -192,3 +192,20 @@ def test_summary(spark):
     r = A.summary(df, "s").first()
     assert r["total_functions"] == 200 and r["top_1_pct_share"] == pytest.approx(399 / 20100) and r["top_10_pct_share"] == pytest.approx(sum(range(181, 201)) / 20100)
     assert A.summary(df.limit(0), "s").first()["total_risk"] == 0 and math.isclose(A.summary(df.limit(3), "s").first()["top_1_pct_share"], 3 / 6)
+
+
+def test_hidden_coupling_finds_pairs_without_an_import(spark):
+    log = [(i, f) for i in range(4) for f in ("x/a.py", "x/b.py", "x/c.py")] + [(9, "x/c.py")]
+    cf = spark.createDataFrame(log, "sha long, file string")
+    deps = spark.createDataFrame([("x/b.py", "x/a.py")], "src_file string, dst_file string")
+    out = C.hidden_coupling(C.with_static_deps(C.co_change(cf), deps))
+    assert rows(out, "file_a", "file_b", "risk") == [("x/a.py", "x/c.py", "high"), ("x/b.py", "x/c.py", "high")]
+
+
+def test_callees_of_a_common_name(spark):
+    fns = spark.createDataFrame([(f"f{i}::get", f"f{i}", "get", i) for i in range(40)], "function_id string, file string, name string, ord long")
+    calls = spark.createDataFrame([("f0::get", "f0x", "get"), ("f7::go", "f7", "get"), ("z::go", "z", "get"), ("y::go", "y", "get"), ("y::go", "y", "nothing")], "caller string, caller_file string, name string")
+    imports = spark.createDataFrame([("y", "f9"), ("y", "f5")], "src_file string, dst_file string")
+    want = [("f0::get", "f1::get"), ("f7::go", "f7::get"), ("y::go", "f5::get"), ("z::go", "f0::get")]
+    assert rows(J.resolve_callees(calls, fns, imports), "src", "dst") == want
+    assert rows(J.resolve_callees(calls, fns, imports, skip_self_candidate=False), "src", "dst") == want[1:]

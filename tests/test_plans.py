@@ -109,6 +109,31 @@ def test_engine_from_source_to_trends(spark, tmp_path):
     assert [x["sha"] for x in e.store.index().collect()] == ["c2", "c3"]
 
 
+def test_engine_trains_and_ranks_what_it_analyzed(spark, tmp_path):
+    from riskloom.operators import ranking as R
+
+    src = tmp_path / "src"
+    (src / "s").mkdir(parents=True)
+    for i in range(60):
+        (src / f"s/f{i}.js").write_text(f"function go{i}() {{\n" + "if (a && b) { x(); }\n" * (i % 10) + "}\n")
+    log = [(f"c{k}", 100 + k, f"a{k % 3}", "fix it" if k % 2 else "more", f"s/f{i}.js", i % 10, 1) for k in range(12) for i in range(60) if i % 10 >= k % 10]
+    cf = spark.createDataFrame(log, "sha string, ts long, author string, subject string, file string, lines_added long, lines_deleted long")
+    e = Engine(spark, SnapshotStore(spark, str(tmp_path / "store")))
+    f = e.analyze(str(src), cf, 200)
+    assert set(R.FEATURES) | set(R.COLD_FEATURES) <= set(f.columns) and f.filter("betweenness is null").count() == 0
+    x = e.labelled(f, cf.filter("subject = 'fix it' and sha = 'c9'"))
+    assert {r["file"] for r in x.filter("label = 1").collect()} == {f"s/f{i}.js" for i in range(60) if i % 10 == 9}
+    last = x.filter("file = 's/f9.js'").first()
+    assert (last["convention_bug_fix_count"], last["total_churn"], last["commit_count"]) == (6, 10, 12) and last["directed_coupling"] > 0
+    model, kind = e.train(x)
+    R.save(model, str(tmp_path / "m"))
+    again = {r["function_id"]: r["rank_score"] for r in e.rank(x, R.load(str(tmp_path / "m"), kind)).collect()}
+    score = {r["function_id"]: (r["rank_score"], r["label"]) for r in e.rank(x, model).collect()}
+    assert again == {k: v[0] for k, v in score.items()} and len(score) == 60
+    assert min(v for v, y in score.values() if y) > max(v for v, y in score.values() if not y)
+    assert "anomaly_score" in R.anomaly_scores(x, R.COLD_FEATURES, "function_id").columns
+
+
 def test_streaming_touches(spark, tmp_path, small):
     from riskloom.streaming.touches import windowed_touches
 
