@@ -42,7 +42,7 @@ def presence(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     at = np.r_[0, np.cumsum(keep)][offs]
     b = np.where(b == 0, 32, b)[keep]
     out = np.zeros((n, size), np.uint8)
-    codes = [b, (b[:-1] << 8) | b[1:] | np.uint32(1 << 24), (b[:-2] << 16) | (b[1:-1] << 8) | b[2:]] if len(b) > 2 else [b]
+    codes = [b, (b[:-1] << 8) | b[1:] | np.uint32(1 << 24), (b[:-2] << 16) | (b[1:-1] << 8) | b[2:]]
     idx = [((c * np.uint32(0x9E3779B1) + np.uint32(k << 20)) >> np.uint32(32 - BITS)).astype(np.int32) for k, c in enumerate(codes)]
     for i in range(n):
         for k, x in enumerate(idx):
