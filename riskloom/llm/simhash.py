@@ -7,14 +7,20 @@ below the minimum are dropped, and the distance of the others is verified. Each
 tally is complete where the pair first meets, and no row is written for each byte that a pair shares.
 
 Lists of single positions would hold N/16 documents, so the index is of fixed groups of five positions, each chosen so that every position
-occurs equally often. That is approximate: a pair is found if it agrees in all five positions of some group. The groups are the
-same at every size of the corpus, so recall is too: at distances of 10, 20, 30, 40, 44 and 48 it is 1.00, 1.00, 1.00, 0.95, 0.87 and 0.74, and tests
-hold it above 0.9 for texts of which a tenth of the words is replaced (36 apart on average). A list has N / 16^5 chance members; none is capped, see components.py.
+occurs equally often. That alone is approximate: a pair is found if it agrees in all five positions of some group, at distances of 10, 20, 30,
+40, 44 and 48 with probability 1.00, 1.00, 1.00, 0.95, 0.87 and 0.74. A list has N / 16^5 chance members; none is capped, see components.py. It joins large groups
+of copies in near linear time.
+
+The links between different groups that it missed are then found exactly. Such pairs have like word counts, so rows meet in cells of word counts. The
+fingerprint is 16 chunks of four positions (16 bits); their distances add up to at most 48, so in some chunk it is at most 2, or 3 in the first. Each row looks up
+every value that near its own in every chunk, which reads a 24th of a cell's pairs; those are verified. So all pairs within the distance end in one group.
+This part grows with the square of the rows of like word count: a join within a distance this wide has no exact index that doesn't.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +37,10 @@ DISTANCE = 48
 RATIO = 0.8
 #: Positions in a posting group, and posting groups: the same at every size of the corpus, so recall doesn't depend on it.
 WIDTH, KEYS = 5, 112
+#: Chunks of 16 bits in which near pairs are looked up, bins of word counts within one RATIO, and rows of a bin that are compared at once.
+CHUNKS, BINS, CELL_ROWS = 16, 2, 1 << 18
+#: Groups with more rows than this in a cell are looked up without their own rows.
+LARGE = 4096
 PRINT = ["p0", "p1", "p2", "p3", "n"]
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -138,6 +148,115 @@ def postings(prints: DataFrame, keys: int = KEYS, width: int = WIDTH) -> DataFra
     return prints.select("id", *PRINT).mapInArrow(run, "key long, id long, p0 long, p1 long, p2 long, p3 long, n long")
 
 
+def radii(distance: int) -> list[int]:
+    """Of each chunk a distance, such that fingerprints within ``distance`` are within it in at least one chunk; -1 for chunks that aren't needed."""
+    least, more = divmod(distance + 1, CHUNKS)
+    return [least - 1 + (k < more) for k in range(CHUNKS)]
+
+
+@lru_cache(maxsize=8)
+def _ball(radius: int) -> np.ndarray:
+    return np.flatnonzero(np.bitwise_count(np.arange(1 << 16)) <= radius)
+
+
+def pairs_within(a: np.ndarray, b: np.ndarray, distance: int, own: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows (i, j) of the (n, 4) fingerprints a and b, among them all pairs within the distance, some repeatedly, and a few others. own: b is a, and each pair comes in one order.
+
+    The chunks lie in a ring. If all distances are less in sum than all radii + 1, then from some chunk on they are so in every run: in that chunk
+    alone, which is looked up, and in the word of four chunks that begins there, which is tested.
+    """
+    ca, cb = (np.ascontiguousarray(x[:, :4]).view(np.uint16) for x in (a, b))
+    within = radii(distance)
+    for c, radius in enumerate(within):
+        if radius < 0:
+            continue
+        masks = _ball(radius)
+        ob = np.argsort(cb[:, c], kind="stable")
+        oa = ob if own else np.argsort(ca[:, c], kind="stable")
+        begin = np.searchsorted(cb[ob, c], np.arange((1 << 16) + 1))
+        run = [(c + k) % CHUNKS for k in range(4)]
+        most = sum(within[k] + 1 for k in run) - 1
+        x, y = (np.ascontiguousarray(chunks[:, run]).view(np.uint64)[:, 0][order] for chunks, order in ((ca, oa), (cb, ob)))
+        value, full = ca[oa, c].astype(np.int64), begin[1:] > begin[:-1]
+        step = max(1, (1 << 16) // len(masks))
+        rows = np.repeat(np.arange(step), len(masks))
+        for s in range(0, len(a), step):
+            mine = value[s : s + step, None]
+            key = mine ^ masks
+            some = np.flatnonzero(full[key] & (key >= mine) if own else full[key])
+            key, row = key.ravel()[some], rows[some] + s
+            lo, hi = begin[key], begin[key + 1]
+            if own:
+                lo = np.maximum(lo, row + 1)
+                left = np.flatnonzero(hi > lo)
+                lo, hi, row = lo[left], hi[left], row[left]
+            n = hi - lo
+            upto = np.r_[0, np.cumsum(n)]
+            at = 0
+            while at < len(n):  # a bounded number of pairs at a time; a key has len(b) at most
+                end = max(at + 1, int(np.searchsorted(upto, upto[at] + (1 << 18), "right")) - 1)
+                i = np.repeat(row[at:end], n[at:end])
+                j = np.repeat(lo[at:end] - (upto[at:end] - upto[at]), n[at:end]) + np.arange(len(i))
+                near = np.flatnonzero(np.bitwise_count(x[i] ^ y[j]) <= most)
+                if len(near):
+                    yield oa[i[near]], ob[j[near]]
+                at = end
+
+
+def links_between_groups(a: np.ndarray, b: np.ndarray | None, distance: int, ratio: float = RATIO) -> np.ndarray:
+    """Distinct pairs (lesser, greater) of groups that a near pair of rows (p0..p3, n, group) of a and b links; b None: of rows of a alone."""
+    test, out = near(distance, ratio), np.zeros((0, 2), np.uint64)
+
+    def look(x: np.ndarray, y: np.ndarray, own: bool = False) -> None:
+        nonlocal out
+        for i, j in pairs_within(x, y, distance, own):
+            apart = x[i, 5] != y[j, 5]
+            i, j = i[apart], j[apart]
+            hit = test(x[i, :5], y[j, :5])
+            if hit.any():
+                found = np.stack([x[i[hit], 5].view(np.int64), y[j[hit], 5].view(np.int64)], 1)
+                out = np.unique(np.concatenate([out, np.sort(found, axis=1).view(np.uint64)]), axis=0)
+
+    names, size = np.unique(a[:, 5], return_counts=True)
+    for g in names[size > LARGE]:
+        mine = a[:, 5] == g
+        x, a = a[mine], a[~mine]
+        other = a if b is None else b[b[:, 5] != g]
+        look(x, other)
+    look(a, a if b is None else b, b is None)
+    return out.view(np.int64)
+
+
+def missed_links(vertices: DataFrame, distance: int, ratio: float = RATIO, rows: int = CELL_ROWS) -> DataFrame:
+    """vertices (p0..p3, n, g) -> (a, b): all pairs of different groups g that hold a near pair.
+
+    Rows of like word counts are at most BINS bins of log(n) apart. Bins are dealt by hash into blocks of about ``rows`` rows, and each pair of
+    blocks that near pairs can be in is a cell, a task's work; so no bin is too long, and none is capped.
+    """
+    spread = F.floor(F.log("n") * F.lit(BINS / (-np.log(ratio) * (1 + 1e-9))).cast("double")).cast("long")
+    v = vertices.select(*PRINT, "g", spread.alias("_bin"))
+    blocks = {r["_bin"]: -(-r["count"] // rows) for r in v.groupBy("_bin").count().collect()}  # as many as the doublings of n, times seven
+    if not blocks:
+        return v.sparkSession.createDataFrame([], "a long, b long")
+    top = max(blocks)
+    held = F.array(*[F.lit(blocks.get(k, 0)) for k in range(top + 1)])
+    # A unit is a bin's number and a block's.
+    v = v.withColumn("_u", F.shiftleft("_bin", 32) + F.pmod(F.xxhash64(*PRINT), F.element_at(held, (F.col("_bin") + 1).cast("int"))))
+    v = v.withColumn("_o", F.explode(F.sequence(F.greatest(F.col("_bin") - BINS, F.lit(0)), F.least(F.col("_bin") + BINS, F.lit(top)))))
+    v = v.withColumn("_k", F.element_at(held, (F.col("_o") + 1).cast("int"))).filter("_k > 0")
+    v = v.withColumn("_w", F.explode(F.sequence(F.shiftleft("_o", 32), F.shiftleft("_o", 32) + F.col("_k") - 1)))
+    v = v.select(*PRINT, "g", F.least("_u", "_w").alias("_a"), F.greatest("_u", "_w").alias("_b"), (F.col("_u") > F.col("_w")).cast("long").alias("_side"))
+
+    def cell(part: pa.Table) -> pa.Table:
+        x = np.stack([part.column(c).to_numpy() for c in [*PRINT, "g"]], 1).view(np.uint64)
+        side = part.column("_side").to_numpy() == 1
+        own = part.column("_a")[0].as_py() == part.column("_b")[0].as_py()
+        found = links_between_groups(x[~side], None if own else x[side], distance, ratio)
+        return pa.table({"a": pa.array(found[:, 0], pa.int64()), "b": pa.array(found[:, 1], pa.int64())})
+
+    return v.groupBy("_a", "_b").applyInArrow(cell, "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """docs (doc_id, text) -> (doc_id, h, group_id, kept): the group of each row, named by its smallest doc_id, and whether the row stays.
 
@@ -152,7 +271,10 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     some = rows.filter("p0 is not null")
     prints = stored(some.select(*p).distinct().withColumn("id", F.xxhash64(*p)), "vertices")
     roots = components(posting_links(postings(prints), near(distance)))
-    node = some.withColumn("id", F.xxhash64(*p)).join(roots, "id", "left").select("doc_id", "h", "row", F.coalesce("root", "id").alias("g"))
+    prints = stored(prints.join(roots, "id", "left").select("id", *p, F.coalesce("root", "id").alias("g")), "grouped")
+    # What the index missed: links between its groups.
+    whole = components(missed_links(prints, distance)).withColumnRenamed("id", "g")
+    node = some.withColumn("id", F.xxhash64(*p)).join(prints.select("id", "g").join(whole, "g", "left"), "id").select("doc_id", "h", "row", F.coalesce("root", "g").alias("g"))
     # The first of a group by an aggregate, which each executor begins on its own rows: a group may be a third of the corpus.
     first = node.groupBy("g").agg(F.min("doc_id").alias("group_id"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "h", "row"))["row"].alias("_first"))
     grouped = node.join(first, "g").select("doc_id", "h", "group_id", (F.col("row") == F.col("_first")).alias("kept"))

@@ -115,6 +115,52 @@ def test_recall_of_the_index_by_distance(distance, least):
     assert (~differ[:, groups]).all(2).any(1).mean() >= least
 
 
+@pytest.mark.parametrize("distance", [0, 5, 14, 15, 48])
+def test_lookups_find_all_pairs_within_the_distance(distance):
+    rng = np.random.default_rng(distance)
+    a = rng.integers(0, 2**63, (400, 4)).astype(np.uint64)
+    b = np.unpackbits(a.view(np.uint8), axis=1)
+    for k, row in enumerate(b):  # the bits differ anywhere, or close together
+        row[rng.permutation(256 if k % 2 else max(distance, 64))[: distance - k % 3 if distance else 0]] ^= 1
+    b = np.packbits(b, axis=1).view(np.uint64)
+    within = lambda x, y: popcount(x ^ y) <= distance
+    found = {(i, j) for x, y in S.pairs_within(a, b, distance) for i, j in zip(x.tolist(), y.tolist()) if within(a[i], b[j])}
+    assert found == {(i, i) for i in range(400)}
+    both = np.concatenate([a, b])
+    found = {(min(i, j), max(i, j)) for x, y in S.pairs_within(both, both, distance, own=True) for i, j in zip(x.tolist(), y.tolist()) if within(both[i], both[j])}
+    assert found == {(i, i + 400) for i in range(400)}
+
+
+@pytest.mark.parametrize("rows, large", [(1 << 18, 4096), (40, 4096), (150, 5)])
+def test_all_links_between_groups_against_brute_force(spark, monkeypatch, rows, large):
+    monkeypatch.setattr(S, "LARGE", large)
+    rng = np.random.default_rng(rows + large)
+    bits = np.repeat(rng.integers(0, 2, (100, 256)), 4, axis=0)
+    for row in bits:
+        row[rng.permutation(256)[: rng.integers(0, 33)]] ^= 1
+    prints = np.packbits(bits.astype(np.uint8), axis=1).view(np.int64)
+    n, g = rng.choice([1, 2, 64, 80, 100, 125, 126, 156, 10**9], 400), np.where(np.arange(400) < 200, rng.integers(0, 6, 400), rng.permutation(400) + 100)
+    table = np.hstack([prints, n[:, None], g[:, None]])
+    near, u = S.near(S.DISTANCE), table.view(np.uint64)
+    want = {(min(g[i], g[j]), max(g[i], g[j])) for i in range(399) for j in i + 1 + np.flatnonzero(near(u[i : i + 1, :5], u[i + 1 :, :5])) if g[i] != g[j]}
+    df = spark.createDataFrame([tuple(map(int, r)) for r in table], "p0 long, p1 long, p2 long, p3 long, n long, g long")
+    assert {tuple(r) for r in S.missed_links(df, S.DISTANCE, rows=rows).collect()} == want and len(want) > 30
+    assert S.missed_links(df.limit(0), S.DISTANCE).count() == 0
+
+
+def test_no_pair_within_the_distance_is_left_out(spark):
+    r, texts = random.Random(9), []
+    for _ in range(400):
+        pick = r.sample(VOCAB, 112)
+        texts += [" ".join(pick[:100]), " ".join(pick[12:])]
+    p, n = prints(texts)
+    table = np.hstack([p, n[:, None].astype(np.uint64)])
+    near = [k for k in range(0, 800, 2) if S.near(S.DISTANCE)(table[k : k + 1], table[k + 1 : k + 2])[0]]
+    assert sum(popcount(p[k] ^ p[k + 1]) > 44 for k in near) > 40
+    got = {x["doc_id"]: x["group_id"] for x in S.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [k for k in near if got[k] != got[k + 1]] == []
+
+
 def test_lists_beyond_a_tasks_memory_lose_no_link(spark):
     rng, rows = np.random.default_rng(5), []
     for key, n in ((1, 500), (2, 3), (3, 90), (4, 1)):
