@@ -1,7 +1,7 @@
 """A pipeline from documents to token ids: quality, language, near copies, source mixture, tokens.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read as the next stage's docs. All but the last
-return the columns of documents; NULLs, extra columns and empty tables are handled as the operators' docstrings say.
+return the columns of documents. Mixing decides the order: its rows, and so those of token ids, are in the order of the mixture. NULLs, extra columns and empty tables are handled as the operators' docstrings say.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from riskloom.llm.common import drop_stored, read, stored
+from riskloom.llm.common import drop_stored, in_file_order, read, stored
 from riskloom.llm.langid import in_known_language
 from riskloom.llm.mixing import mixed
 from riskloom.llm.piece import encode_documents
@@ -34,13 +34,13 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Leaves the documents of the mixture whose sources have their target weights, each once."""
+    """Puts the documents in the order of the mixture, in which every stretch keeps its sources' target weights; each comes once."""
     return mixed(docs)
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_ids, ids, lossless) of every document left."""
-    return encode_documents(docs)
+    """(doc_id, n_ids, ids, lossless) of every document left, in the order of docs, which is the mixture's."""
+    return encode_documents(in_file_order(docs))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,6 +53,23 @@ def col(name: str):
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def in_file_order(df: DataFrame) -> DataFrame:
+    """A Parquet table in the order in which its rows were written: by the number of the part, then the row in it.
+
+    A scan alone takes files by size and in pieces. Any other DataFrame is as it is: its order is that of its partitions.
+    """
+    if not df._jdf.queryExecution().analyzed().children().isEmpty():  # not a bare table: its files aren't those of df
+        return df
+    part, path, row = fresh(df, "_part", "_path", "_row")
+    try:
+        at = df.metadataColumn("_metadata")
+        number = F.regexp_extract(at["file_name"], "^part-([0-9]+)", 1).try_cast("long")
+        placed = df.select(*[col(c) for c in df.columns], number.alias(part), at["file_path"].alias(path), at["row_index"].alias(row))
+    except AnalysisException:
+        return df
+    return placed.orderBy(part, path, row).select(*[col(c) for c in df.columns])
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

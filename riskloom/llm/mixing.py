@@ -141,16 +141,16 @@ def schedule(docs: DataFrame, weights: dict[str, float] | None = None, alpha: fl
 
 
 def mixed(docs: DataFrame, weights: dict[str, float] | None = None, alpha: float = ALPHA, block_tokens: int = BLOCK_TOKENS, seed: int = SEED) -> DataFrame:
-    """The documents of sources that have a weight, with the columns of docs, in the order of their slots.
+    """The documents of sources that have a weight, with the columns of docs, in the order of their slots, then of doc_id and the text's hash.
 
-    Texts cross the network once, by id; each partition is a sample of the mixture in slot order, so shards that are read side by side follow the
-    target weights. Rows of one source and id go where the first of them does. An empty table gives no rows.
+    The order is of the whole table: each partition, and each file that is written of it, is the next stretch of the mixture. Texts cross the network
+    twice, by id and by slot. Rows of one source and id go where the first of them does. An empty table gives no rows.
     """
     s, i, t = fresh(docs, "_s", "_i", "_t")
     plan = schedule(docs.select("doc_id", "text", "source"), weights, alpha, block_tokens, seed)
     plan = plan.groupBy(F.col("source").alias(s), F.col("doc_id").alias(i)).agg(F.min("slot").alias(t))
     same = (F.coalesce(col("source").cast("string"), F.lit("")) == F.col(s)) & docs["doc_id"].cast("long").eqNullSafe(F.col(i))
-    return docs.join(plan, same).sortWithinPartitions(t).select(*[docs["`" + c.replace("`", "``") + "`"] for c in docs.columns])
+    return docs.join(plan, same).orderBy(t, i, F.xxhash64(docs["text"])).select(*[docs["`" + c.replace("`", "``") + "`"] for c in docs.columns])
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -309,7 +309,7 @@ def decode(p: Pieces, ids: np.ndarray) -> str:
 def encode_documents(docs: DataFrame, dropout: float = DROPOUT, seed: int = SEED, model: str | None = None) -> DataFrame:
     """docs (doc_id, text) -> (doc_id, n_ids, ids, lossless): the ids of each text, and whether decoding them gave the text back byte for byte.
 
-    A NULL text has NULL ids and lossless and 0 n_ids; an empty one no ids. A NULL doc_id is keyed as 0. Repeated rows get the same ids; an empty
+    Rows stay in the order of docs. A NULL text has NULL ids and lossless and 0 n_ids; an empty one no ids. A NULL doc_id is keyed as 0. Repeated rows get the same ids; an empty
     table gives no rows; extra columns are ignored. The model's file is read on the driver alone.
     """
     shared = docs.sparkSession.sparkContext.broadcast(pieces(model or model_path()))
