@@ -32,15 +32,37 @@ def nearest_function(hunks: DataFrame, spans: DataFrame) -> DataFrame:
 def interval_touches(hunks: DataFrame, spans: DataFrame, width: int = 64) -> DataFrame:
     """Touches of each function by changed lines: hunks (sha, file, ts, start, length) that overlap spans (file, function_id, start_line, end_line).
 
-    Both sides are cut into buckets of ``width`` lines, so the overlap is an equality join with a filter; a pair is counted in the
-    first bucket that both share.
+    Only distinct places meet, not commits and functions: hunks become weighted pieces (file, start, stop), equal pieces are added up, and equal spans
+    are looked up once. Of a commit's hunks in a file, in order and without those inside others, a span overlaps a run of neighbours; each hunk weighs
+    1 and each two neighbours -1 at the place (next start, own stop), which a span meets if it overlaps both, so the weights add up to one a commit.
+    Both sides are cut into buckets of ``width`` lines, so the overlap is an equality join with a filter; a pair counts in the first bucket that both
+    share. Functions of several spans, whose commits can't be added up, are joined with the hunks themselves.
     """
+    c, span = F.col, ["file", "start_line", "end_line"]
     cut = lambda a, b: F.explode(F.sequence(F.floor(a / width), F.floor(b / width)))
-    h = hunks.withColumn("stop", F.col("start") + F.greatest(F.col("length"), F.lit(1)) - 1).withColumn("bucket", cut(F.col("start"), F.col("stop")))
-    s = spans.withColumn("bucket", cut(F.col("start_line"), F.col("end_line")))
-    on = h.join(s, ["file", "bucket"]).filter("start <= end_line and start_line <= stop")
-    on = on.filter(F.col("bucket") == F.greatest(F.floor(F.col("start") / width), F.floor(F.col("start_line") / width)))
-    return on.groupBy("function_id").agg(F.countDistinct("sha").alias("touches"), F.max("ts").alias("last_ts"))
+
+    def meet(h: DataFrame, s: DataFrame) -> DataFrame:
+        low = F.least("start", "stop")
+        on = h.withColumn("bucket", cut(low, c("stop"))).join(s.withColumn("bucket", cut(c("start_line"), c("end_line"))), ["file", "bucket"]).filter("start <= end_line and start_line <= stop")
+        return on.filter(c("bucket") == F.greatest(F.floor(low / width), F.floor(c("start_line") / width)))
+
+    h = hunks.withColumn("stop", c("start") + F.greatest(c("length"), F.lit(1)) - 1).filter("file is not null and stop is not null")
+    each = spans.filter("file is not null and start_line is not null and end_line is not null").groupBy("function_id").agg(F.collect_set(F.struct(*span)).alias("_at"))
+    reach = F.max("stop").over(Window.partitionBy("file", "sha").orderBy("start", F.desc("stop")).rowsBetween(Window.unboundedPreceding, -1))
+    piece = lambda stop, weight, ts: F.struct("start", stop.alias("stop"), weight.alias("w"), ts.alias("ts"))
+    r = h.select("file", "sha", "start", "stop", "ts").withColumn("_reach", reach)
+    outer = c("sha").isNotNull() & (c("_reach").isNull() | (c("stop") > c("_reach")))
+    own = piece(c("stop"), outer.cast("long"), c("ts"))
+    both = F.array(own, piece(c("_reach"), F.lit(-1).cast("long"), F.lit(None).cast(h.schema["ts"].dataType)))
+    pieces = r.select("file", F.inline(F.when(outer & c("_reach").isNotNull(), both).otherwise(F.array(own)))).groupBy("file", "start", "stop").agg(F.sum("w").alias("w"), F.max("ts").alias("ts"))
+    one = each.filter(F.size("_at") == 1).select("function_id", c("_at")[0].alias("_s")).select("function_id", "_s.*")
+    seen = meet(pieces, one.select(*span).distinct()).groupBy(*span).agg(F.sum("w").alias("touches"), F.max("ts").alias("last_ts"))
+    out = one.join(seen, span).select("function_id", "touches", "last_ts")
+    many = each.filter(F.size("_at") > 1)
+    if many.limit(1).count():
+        rest = meet(h, many.select("function_id", F.inline("_at"))).groupBy("function_id").agg(F.countDistinct("sha").alias("touches"), F.max("ts").alias("last_ts"))
+        out = out.unionByName(rest)
+    return out
 
 
 def priority_pick(candidates: DataFrame, group: list[str], order: list[Column]) -> DataFrame:

@@ -66,6 +66,46 @@ def test_asof(spark):
     assert sorted(map(str, rows(J.nearest_function(h, s), "old_start", "function_id"))) == sorted(map(str, [(5, "a"), (10, "a"), (99, "b"), (1, None)]))
 
 
+def most_rows(df):
+    """The most rows that any step of the collected plan gave out."""
+    df.collect()
+    todo, most = [df._jdf.queryExecution().executedPlan()], 0
+    while todo:
+        p = todo.pop()
+        kind = p.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            todo.append(p.executedPlan())
+        elif kind.endswith("QueryStageExec"):
+            todo.append(p.plan())
+        todo += [p.children().apply(i) for i in range(p.children().size())]
+        if p.metrics().contains("numOutputRows"):
+            most = max(most, p.metrics().apply("numOutputRows").value())
+    return most
+
+
+def test_interval_touches_joins_places(spark):
+    h = spark.range(400).select(F.col("id").alias("sha"), F.lit("f").alias("file"), F.col("id").alias("ts"), F.lit(5).alias("start"), F.lit(3).alias("length"))
+    s = spark.range(400).select(F.col("id").alias("function_id"), F.lit("f").alias("file"), F.lit(1).alias("start_line"), F.lit(9).alias("end_line"))
+    out = J.interval_touches(h, s)
+    assert most_rows(out) <= 800 and {tuple(r)[1:] for r in out.collect()} == {(400, 399)}
+
+
+def test_interval_touches_counts_commits_once(spark):
+    import random
+
+    r = random.Random(7)
+    hunks = [(r.choice([*range(12), None]), r.choice("ab"), r.randrange(99), r.randrange(1, 400), r.choice([0, 1, 3, 90, None])) for _ in range(150)]
+    spans = [(f"f{i if i < 50 else i - 30}", r.choice("ab"), a := r.randrange(1, 400), a + r.choice([-4, 0, 5, 40, 200])) for i in range(60)]
+    want = {}
+    for f, file, a, b in spans:
+        for sha, other, ts, start, length in hunks:
+            if file == other and start <= b and a <= start + max(length or 1, 1) - 1:
+                want.setdefault(f, []).append((sha, ts))
+    h = spark.createDataFrame(hunks, "sha long, file string, ts long, start long, length long")
+    s = spark.createDataFrame(spans, "function_id string, file string, start_line long, end_line long")
+    assert {x[0]: tuple(x)[1:] for x in J.interval_touches(h, s).collect()} == {f: (len({a for a, _ in x} - {None}), max(b for _, b in x)) for f, x in want.items()}
+
+
 def test_interval_touches(spark):
     s = spark.createDataFrame([("f", "a", 1, 200), ("f", "b", 201, 210)], "file string, function_id string, start_line long, end_line long")
     h = spark.createDataFrame([(1, "f", 1, 60, 10), (2, "f", 2, 195, 10), (3, "f", 3, 400, 1), (4, "f", 4, 128, 0)], "sha long, file string, ts long, start long, length long")
