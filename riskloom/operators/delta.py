@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import drop_stored, stored
+
 METRICS = ["cc", "nd", "fo", "ns"]
 
 
@@ -49,30 +51,78 @@ def rename_hints(parent: DataFrame, current: DataFrame, near_lines: int = 10) ->
     """(function_id, rename_hint): of deleted functions the new one that each probably became.
 
     Candidates: the same name in another file, or the same file within some lines. Deleted functions choose in the order of their ids, each
-    the first new one left. Only functions that compete with each other have to be walked in order: they are the connected parts of the candidate
-    graph. Parts share a name or a file chain; here one walk takes all candidate pairs, which are few beside the snapshots.
+    the first new one left. Only functions that compete with each other have to be walked in order: those of one run of near lines in a file, and of
+    runs that share a name or a function. Such parts are walked side by side, each from its functions; candidate pairs, of which a run of n has n * n
+    / 4, aren't made. A task holds the new functions of one part.
     """
     c = F.col
     name = lambda: F.when(c("function_id").startswith(F.concat("file", F.lit("::"))), F.substring(c("function_id"), F.length("file") + 3, 1 << 20)).otherwise(c("function_id"))
-    gone = parent.join(current.select("function_id"), "function_id", "left_anti").select(c("function_id").alias("old"), c("file").alias("old_file"), c("line").alias("old_line"), name().alias("name"))
-    made = current.join(parent.select("function_id"), "function_id", "left_anti").select(c("function_id").alias("new"), c("file").alias("new_file"), c("line").alias("new_line"), name().alias("name"))
-    same = gone.join(made, "name").filter("old_file <> new_file").select("old", "new")
-    moved = gone.join(made.withColumnRenamed("new_file", "old_file"), "old_file").filter(F.abs(c("old_line") - c("new_line")) <= near_lines).select("old", "new")
-    pairs = same.unionByName(moved).distinct()
+    one = lambda df, other, old: df.join(other.select("function_id"), "function_id", "left_anti").filter("file is not null").select(F.lit(old).alias("old"), c("function_id").alias("id"), "file", c("line").cast("long").alias("line"), name().alias("name"))
+    rows = one(parent, current, True).unionByName(one(current, parent, False))
+    order = Window.partitionBy("file").orderBy("line", "id")
+    begins = F.coalesce(c("line") - F.lag("line").over(order) > near_lines, F.lit(True))
+    runs = rows.withColumn("_b", F.when(begins, c("line"))).withColumn("_b", F.last("_b", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = stored(runs.withColumn("part", F.concat(F.coalesce(c("_b").cast("string"), F.lit("")), F.lit(":"), "file")).drop("_b"), "renames")
+    keys = rows.select("part", "old", F.explode(F.array(F.struct(F.lit(True).alias("by_name"), c("name").alias("key")), F.struct(F.lit(False).alias("by_name"), c("id").alias("key")))).alias("k")).select("part", "old", "k.*")
+    wide = keys.groupBy("by_name", "key").agg(F.min("part").alias("a"), F.max("part").alias("b"), F.min("old").alias("x"), F.max("old").alias("y")).filter("a < b and (not by_name or x < y)")
+    links = stored(keys.join(wide.select("by_name", "key"), ["by_name", "key"]).select("part", F.struct("by_name", "key").alias("key")).distinct(), "links")
+    if links.limit(1).count():
+        rows = rows.join(joined_parts(links).withColumnRenamed("label", "_l"), "part", "left").withColumn("part", F.coalesce("_l", "part")).drop("_l")
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        taken: set[str] = set()
-        done: set[str] = set()
+        part, gone, best = None, None, -1
         for b in batches:
             out = []
-            for old, new in zip(b["old"], b["new"]):
-                if old not in done and new not in taken:
-                    done.add(old)
-                    taken.add(new)
-                    out.append((old, new))
+            for p, old, key, file, line, label in zip(b["part"], b["old"], b["id"], b["file"], b["line"], b["name"]):
+                if gone is not None and (p != part or key != gone):
+                    if best >= 0:
+                        taken[best] = True
+                        out.append((gone, ids[best]))
+                    gone, best = None, -1
+                if p != part:
+                    part, ids, taken, by_name, by_line, head = p, [], [], {}, {}, {}
+                if not old:
+                    if not ids or ids[-1] != key:
+                        ids.append(key)
+                        taken.append(False)
+                    by_name.setdefault(label, []).append((len(ids) - 1, file))
+                    if line == line:
+                        by_line.setdefault((file, int(line)), []).append((len(ids) - 1, None))
+                    continue
+                gone = key
+                near = [(file, m) for m in range(int(line) - near_lines, int(line) + near_lines + 1)] if line == line else []
+                for where, lists in [(label, by_name), *((k, by_line) for k in near)]:
+                    got = lists.get(where)
+                    if not got:
+                        continue
+                    i = head.get(where, 0)
+                    while i < len(got) and taken[got[i][0]]:
+                        i += 1
+                    head[where] = i
+                    while i < len(got) and (taken[got[i][0]] or got[i][1] == file):
+                        i += 1
+                    if i < len(got) and (best < 0 or got[i][0] < best):
+                        best = got[i][0]
             yield pd.DataFrame(out, columns=["function_id", "rename_hint"])
-
-    return pairs.repartition(1).sortWithinPartitions("old", "new").mapInPandas(walk, "function_id string, rename_hint string")
+        if best >= 0:
+            yield pd.DataFrame([(gone, ids[best])], columns=["function_id", "rename_hint"])
+
+    both = rows.groupBy("part").agg(F.min("old").alias("x"), F.max("old").alias("y")).filter("x < y").select("part")
+    return rows.join(both, "part", "left_semi").repartition("part").sortWithinPartitions("part", "old", "id").mapInPandas(walk, "function_id string, rename_hint string")
+
+
+def joined_parts(links: DataFrame) -> DataFrame:
+    """links (part, key) -> (part, label): the least part that shared keys lead to, in rounds; what a label itself was given is taken over at once."""
+    now = stored(links.select("part", F.col("part").alias("label")).distinct(), "labels")
+    while True:
+        least = links.join(now, "part").groupBy("key").agg(F.min("label").alias("l"))
+        near = links.join(least, "key").groupBy("part").agg(F.min("l").alias("l"))
+        jump = now.select(F.col("part").alias("label"), F.col("label").alias("j"))
+        then = stored(now.join(near, "part").join(jump, "label").select("part", F.least("l", "j").alias("label")), "labels")
+        if not then.join(now, ["part", "label"], "left_anti").limit(1).count():
+            return then
+        drop_stored(now)
+        now = then
 
 
 def with_rename_hints(d: DataFrame, hints: DataFrame) -> DataFrame:

@@ -159,6 +159,34 @@ def test_delta_and_policies(spark):
     assert rows(D.apply_storage_delta(b, D.storage_delta(b, a)), "function_id", "lrs", "line") == rows(a, "function_id", "lrs", "line")
 
 
+def test_rename_hints_makes_no_pairs(spark):
+    side = lambda x: spark.range(300).select(F.format_string(f"f::{x}%03d", "id").alias("function_id"), F.lit("f").alias("file"), F.lit(5).alias("line"))
+    out = D.rename_hints(side("a"), side("b"))
+    assert most_rows(out) <= 600 and sorted(map(tuple, out.collect())) == [(f"f::a{i:03}", f"f::b{i:03}") for i in range(300)]
+
+
+def test_rename_hints_as_walked_over_pairs(spark):
+    import random
+
+    r = random.Random(3)
+
+    def side():
+        # Names come again in other files, functions at other lines; some have no line, some ids don't begin with their file.
+        some = [(r.choice("pqrstu"), f"n{r.randrange(40)}", r.choice([*range(1, 300, 7), None])) for _ in range(90)]
+        return [(name if r.random() < 0.1 else f"{file}::{name}", file, line) for file, name, line in some]
+
+    before, after = side(), side()
+    name = lambda x: x[0].removeprefix(x[1] + "::")
+    gone, made = [x for x in before if x[0] not in {y[0] for y in after}], [x for x in after if x[0] not in {y[0] for y in before}]
+    pairs = {(a[0], b[0]) for a in gone for b in made if (name(a) == name(b) and a[1] != b[1]) or (a[1] == b[1] and None not in (a[2], b[2]) and abs(a[2] - b[2]) <= 10)}
+    want = {}
+    for a, b in sorted(pairs):
+        if a not in want and b not in want.values():
+            want[a] = b
+    kind = "function_id string, file string, line long"
+    assert len(want) > 20 and dict(map(tuple, D.rename_hints(spark.createDataFrame(before, kind), spark.createDataFrame(after, kind)).collect())) == want
+
+
 def test_rename_hints(spark):
     b = snap(spark, [("x.ts::f", 1, 2.0, None), ("y.ts::g", 10, 2.0, None), ("y.ts::h", 15, 2.0, None)])
     a = snap(spark, [("z.ts::f", 1, 2.0, None), ("y.ts::i", 18, 2.0, None), ("y.ts::far", 90, 2.0, None)])
