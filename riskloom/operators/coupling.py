@@ -31,7 +31,7 @@ def co_change(commit_files: DataFrame, min_count: int = 3, as_of: int | None = N
     if as_of is not None:
         x = x.filter(F.col("ts").between(as_of - window_days * DAY, as_of))
     appear = x.groupBy("file").agg(F.count("*").alias("n"))
-    per = x.groupBy("sha").agg(F.array_sort(F.collect_set("file")).alias("f"), F.count("*").alias("_n")).filter(F.col("_n") <= mass_commit)
+    per = x.groupBy("sha").agg(F.sort_array(F.collect_set("file")).alias("f"), F.count("*").alias("_n")).filter(F.col("_n") <= mass_commit)
     first = per.select("f", F.posexplode("f").alias("i", "file_a"))
     pairs = first.select("file_a", F.explode(F.slice("f", F.col("i") + 2, F.size("f"))).alias("file_b"))
     counted = pairs.groupBy("file_a", "file_b").agg(F.count("*").alias("co_change_count")).filter(F.col("co_change_count") >= min_count)
