@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import spread
+
 DAY = 86400
 
 
@@ -38,10 +40,18 @@ def burst_scores(commit_files: DataFrame, days: int = 30) -> DataFrame:
 
     Of commits at the same second a later one counts fewer, as if by position: the count up to the window's end, less the commits before it.
     """
+    c = spread(commit_files, "file").select("file", _from_each(days).alias("c"))
+    return c.groupBy("file").agg(_burst(F.count("*"), F.max("c"), F.avg("c")).alias("burst_score"))
+
+
+def _from_each(days: int = 30) -> Column:
     ends = Window.partitionBy("file").orderBy("ts").rangeBetween(Window.unboundedPreceding, days * DAY - 1)
     place = Window.partitionBy("file").orderBy("ts", "sha")
-    c = commit_files.select("file", (F.count("*").over(ends) - F.row_number().over(place) + 1).alias("c"))
-    return c.groupBy("file").agg(F.when(F.count("*") < 2, 1.0).otherwise(F.max("c") / F.avg("c")).alias("burst_score"))
+    return F.count("*").over(ends) - F.row_number().over(place) + 1
+
+
+def _burst(n: Column, most: Column, mean: Column) -> Column:
+    return F.when(n < 2, 1.0).otherwise(most / mean)
 
 
 def author_entropy(commit_files: DataFrame) -> DataFrame:
@@ -54,13 +64,17 @@ def author_entropy(commit_files: DataFrame) -> DataFrame:
 
 def history_signals(commit_files: DataFrame, as_of: int) -> DataFrame:
     """(file, commit_count, author_count, author_entropy, isolation_rate, age_days, last_touch_days, burst_score)."""
-    size = commit_files.groupBy("sha").agg(F.count("*").alias("_files"))
-    x = commit_files.join(size, "sha")
-    base = x.groupBy("file").agg(
-        F.count("*").alias("commit_count"), F.countDistinct("author").alias("author_count"), (F.count(F.when(F.col("_files") == 1, 1)) / F.count("*")).alias("isolation_rate"),
-        ((F.max("ts") - F.min("ts")) / float(DAY)).alias("age_days"), ((F.lit(as_of) - F.max("ts")) / float(DAY)).alias("last_touch_days"),
+    # One shuffle by commit, one by file: all signals come from the rows of a file and author. Rows without a commit count for entropy and bursts only.
+    c, day, own = F.col, float(DAY), lambda x: F.when(F.col("sha").isNotNull(), x)
+    x = commit_files.select("sha", "file", "ts", "author").filter("file is not null").withColumn("_files", F.count("*").over(Window.partitionBy("sha")))
+    x = spread(x, "file").withColumn("_c", _from_each())
+    per = x.groupBy("file", "author").agg(F.count("*").alias("k"), F.count("sha").alias("n"), F.count(own(F.when(c("_files") == 1, 1))).alias("alone"), F.min(own(c("ts"))).alias("first"), F.max(own(c("ts"))).alias("last"), F.max("_c").alias("most"), F.sum("_c").alias("all"))
+    p = per.withColumn("p", c("k") / F.sum("k").over(Window.partitionBy("file")))
+    base = p.groupBy("file").agg(
+        F.sum("n").alias("commit_count"), F.count(F.when(c("n") > 0, c("author"))).alias("author_count"), (-F.sum(c("p") * F.log2("p"))).alias("author_entropy"), (F.sum("alone") / F.sum("n")).alias("isolation_rate"),
+        ((F.max("last") - F.min("first")) / day).alias("age_days"), ((F.lit(as_of) - F.max("last")) / day).alias("last_touch_days"), _burst(F.sum("k"), F.max("most"), F.sum("all") / F.sum("k")).alias("burst_score"),
     )
-    return base.join(author_entropy(commit_files), "file").join(burst_scores(commit_files), "file")
+    return base.filter("commit_count > 0")
 
 
 def authors_in_window(commit_files: DataFrame, as_of: int, days: int = 90) -> DataFrame:

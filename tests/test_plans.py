@@ -168,3 +168,13 @@ def test_random_forest_query_fits_the_references_200_trees(spark, small, monkeyp
     monkeypatch.setattr(catalog.R, "fit_forest", fitted)
     assert catalog.QUERIES["q_random_forest"](spark, small).count() > 0
     assert any(getattr(s, "getNumTrees", None) == 200 for m in made for s in getattr(m, "stages", [m]))
+
+
+@pytest.mark.parametrize("name, shuffles", [("q_directed_coupling", 1), ("q_cochange_pairs", 1), ("q_cochange_static", 1), ("q_isolation_rate", 2), ("q_history_signals", 2), ("q_burst_score", 2), ("q_hidden_coupling", 1)])
+def test_commit_rows_go_to_tasks_of_bounded_size(spark, name, shuffles):
+    from riskloom.plans.catalog import QUERIES
+
+    plan = QUERIES[name](spark, "/root/testdata/sf0.1")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_NUM") >= shuffles
+    if name == "q_history_signals":
+        assert plan.count("lineitem.parquet") == 1
