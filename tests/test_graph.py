@@ -3,6 +3,7 @@ from collections import deque
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from riskloom.operators import graph as G
 
@@ -113,3 +114,12 @@ def test_depth_keeps_entries_beyond_the_kernel(spark):
     want = {r["id"]: r["depth"] for r in G.dependency_depth(e, everyone).collect()}
     assert {r["id"]: r["depth"] for r in G.dependency_depth(e, everyone, kernel_edges=5).collect()} == want
     assert want[2] == 2 and all(want[i] == 0 for i in range(3, 23))
+
+
+def test_betweenness_gives_out_what_it_reached(spark):
+    from tests.test_operators import most_rows
+
+    e = spark.range(320).select((F.col("id") * 3).alias("src"), (F.col("id") * 3 + 1).alias("dst")).union(spark.range(320).select(F.col("id") * 3 + 1, F.col("id") * 3 + 2))
+    for exact in (1000, 0):
+        out = G.betweenness(e, exact_up_to=exact, pivots=960)
+        assert most_rows(out) <= 2 * 960 and {r["id"]: r["betweenness"] > 0 for r in out.collect()} == {i: i % 3 == 1 for i in range(960)}
